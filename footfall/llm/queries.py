@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, fingerprint, sharding
-from footfall.llm.common import read_table
+from footfall.llm import chat, counts, fingerprint, packing, sharding, tokenfile, tokens
+from footfall.llm.common import read_table, shared_dir
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    ids = tokens.token_ids(read_table(spark, sf_dir, "documents"), end_id=1)
+    items = packing.pieces(ids, 4096).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(items, 4096)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +56,21 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids through token files and back."""
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfile.write_token_files(read_table(spark, sf_dir, "documents"), path, end_id=2)
+    return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, counted between the ends of documents in flat files of all of them."""
+    path = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
+    documents = read_table(spark, sf_dir, "documents")
+    counts.write_flat(documents, path)
+    return counts.token_counts(documents, path).select("doc_id", "n_tokens")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 by the hash tree, and where they would be with one more."""
     out = sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=40)
@@ -54,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_document_fingerprints, op5_chat_formatting, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op5_chat_formatting, op7_token_files, op9_token_counts, op10_sharding)}
 
 
 _BRANCHES = "list_distinct(list_filter(list_transform(string_split(translate(regexp_replace({0}, '([ntr.,;:!?|)][ \\t\\r\\f\\x0B]+)', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
