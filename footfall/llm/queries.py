@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, counts, fingerprint, packing, sharding, simhash, tokenfile, tokens
+from footfall.llm import chat, counts, fingerprint, packing, sharding, simhash, tokenfile, tokens, toxicity
 from footfall.llm.common import read_table, shared_dir
 
 
@@ -62,6 +62,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from four fifths of the labels."""
+    scored = toxicity.toxicity(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity_score").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through token files and back."""
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -84,7 +91,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_simhash_near_dedup, op5_chat_formatting, op7_token_files, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op9_token_counts, op10_sharding)}
 
 
 _BRANCHES = "list_distinct(list_filter(list_transform(string_split(translate(regexp_replace({0}, '([ntr.,;:!?|)][ \\t\\r\\f\\x0B]+)', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
