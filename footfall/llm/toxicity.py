@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters are patterns that a text either shows or does not: a lexicon of whole words and of word
-starts, found among the labelled documents as those that stand out in toxic or in clean
+starts, shown once or at least twice, found among the labelled documents as those that stand out in toxic or in clean
 ones, and patterns of shape (repeated marks, shouting, no words at all). A generative label
 model says how likely each voter fires on toxic and on clean documents, and which voters
 only repeat one another: expectation-maximisation estimates the rates, the correlation of two
@@ -16,6 +16,7 @@ differ are averaged. A null text is the empty one. With no labels at all every s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from footfall.llm.tokens import chunks
 #: Labelled documents at most, lexicon entries at most for each side, documents that a lexicon entry needs at least.
 MAX_LABELLED, MAX_VOTERS, MIN_DOCUMENTS = 20_000, 600, 4
 STARTS = range(3, 8)
+#: Before a pattern: it must occur at least twice in the text.
+TWICE = "2"
 STRIP = "\"'`.,;:!?()[]{}<>|*#_-…»«“”„’"
 
 
@@ -60,17 +63,23 @@ class Model:
 
 def _fired(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text, voter), each once: which voters of the lexicon fire on which texts."""
+    base = {p: i for i, p in enumerate(sorted({v.removeprefix(TWICE) for v in index}))}
+    once, twice = (np.array([index.get(mark + p, -1) for p in base] or [-1], np.int64) for mark in ("", TWICE))
     words = pc.ascii_split_whitespace(texts)
     flat = pc.list_flatten(words).dictionary_encode()
     codes, at = flat.indices.to_numpy(), words.offsets.to_numpy()
-    hits_of = [sorted({index[p] for p in word_patterns(w) if p in index}) for w in flat.dictionary.to_pylist()]
-    count = np.array([len(h) for h in hits_of], np.int64) if hits_of else np.zeros(0, np.int64)
+    hits_of = [[base[p] for p in word_patterns(w) if p in base] for w in flat.dictionary.to_pylist()]
+    count = np.array([len(h) for h in hits_of], np.int64)
     hit_words = np.flatnonzero(count[codes]) if len(codes) else np.zeros(0, np.int64)
-    row = np.searchsorted(at - at[0], hit_words, "right") - 1
-    voter = [v for c in codes[hit_words].tolist() for v in hits_of[c]]
-    row = np.repeat(row, count[codes[hit_words]]) if len(hit_words) else row
-    pairs = np.unique(row.astype(np.int64) * max(1, len(index)) + np.array(voter, np.int64))
-    return pairs // max(1, len(index)), pairs % max(1, len(index))
+    row = np.repeat(np.searchsorted(at - at[0], hit_words, "right") - 1, count[codes[hit_words]] if len(hit_words) else 0)
+    voter = np.array([v for c in codes[hit_words].tolist() for v in hits_of[c]], np.int64)
+    pairs, times = np.unique(row.astype(np.int64) * max(1, len(base)) + voter, return_counts=True)
+    row, voter = pairs // max(1, len(base)), pairs % max(1, len(base))
+    row = np.concatenate([row, row[times > 1]])
+    voter = np.concatenate([once[voter], twice[voter[times > 1]]])
+    real = voter >= 0
+    order = np.argsort(row[real], kind="stable")
+    return row[real][order], voter[real][order]
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -87,7 +96,11 @@ def _lexicon(rows: DataFrame, per_side: int) -> list[str]:
         for batch in batches:
             held, votes = [], []
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = {p for w in set(text.as_py().split()) for p in word_patterns(w)}
+                times: Counter[str] = Counter()
+                for word, n in Counter(text.as_py().split()).items():
+                    for p in word_patterns(word):
+                        times[p] += n
+                found = [*times, *(TWICE + p for p, n in times.items() if n > 1)]
                 held += found
                 votes += [toxic] * len(found)
                 if len(held) > 200_000:
@@ -110,7 +123,7 @@ def _lexicon(rows: DataFrame, per_side: int) -> list[str]:
     return sorted(set(out))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, trust: float = 0.9) -> np.ndarray:
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, trust: float = 0.95) -> np.ndarray:
     """Posterior of the toxic class from votes (documents x voters, 0 or 1).
 
     EM over a two-class model: rates of each voter in each class, started from ``gold``, which later counts as one
@@ -138,7 +151,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, trust: fl
     return p
 
 
-def linear_classifier(features: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def linear_classifier(features: np.ndarray, target: np.ndarray, l2: float = 1e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by accelerated gradient steps."""
     x = np.hstack([features, np.ones((len(features), 1))]).astype(np.float32)
     step = 4.0 / (np.linalg.norm(x, 2) ** 2 / len(x) + l2)
