@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, counts, fingerprint, packing, sharding, simhash, tokenfile, tokens, toxicity
+from footfall.llm import chat, counts, fingerprint, lattice, packing, sharding, simhash, tokenfile, tokens, toxicity
 from footfall.llm.common import read_table, shared_dir
 
 
@@ -76,6 +76,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice score of every document, learnt from four fifths of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (~held_out).alias("train"))
+    return lattice.lattice_scores(docs, class_col="lang").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, counted between the ends of documents in flat files of all of them."""
     path = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
@@ -91,7 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
 
 
 _BRANCHES = "list_distinct(list_filter(list_transform(string_split(translate(regexp_replace({0}, '([ntr.,;:!?|)][ \\t\\r\\f\\x0B]+)', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
