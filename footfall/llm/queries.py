@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, counts, fingerprint, lattice, packing, sharding, simhash, tokenfile, tokens, toxicity
+from footfall.llm import chat, counts, decontam, fingerprint, lattice, packing, sharding, simhash, tokenfile, tokens, toxicity
 from footfall.llm.common import read_table, shared_dir
 
 
@@ -39,6 +39,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_chars", "edited_sha256", fingerprint.root(F.col("own_sections")).alias("fingerprint"), fingerprint.root(F.col("edited_sections")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it contains."""
+    return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -98,7 +103,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
 
 
 _BRANCHES = "list_distinct(list_filter(list_transform(string_split(translate(regexp_replace({0}, '([ntr.,;:!?|)][ \\t\\r\\f\\x0B]+)', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
