@@ -18,11 +18,14 @@ only lead to one another in a circle have no root and are left out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from footfall.llm.common import materialize
+from footfall.llm.common import materialize, shared_dir
 
 OPEN, SAYS, CLOSE = "<s>", "<t>", "</s>"
 
@@ -53,24 +56,30 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     nodes = messages.select(F.struct("tree_id").alias("tree"), "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = nodes.select("tree", F.col("node_id").alias("parent_id"), F.lit(True).alias("__known"))
     linked = nodes.join(ids, ["tree", "parent_id"], "left")
-    jumps = materialize(linked.select("tree", "node_id", F.when(F.col("__known"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "chat-jumps")
-    levels = []
-    for _ in range(jumps.count().bit_length() + 1):  # no path is longer than the table
-        levels.append(jumps)
-        if jumps.filter(F.col("up").isNotNull()).isEmpty():
-            break
-        far = jumps.select("tree", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("score").alias("__score"))
-        jumps = materialize(
-            jumps.join(far, ["tree", "up"], "left").select("tree", "node_id", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score")),
-            "chat-jumps",
-        )
-    parents = levels[0].filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node_id")).distinct()
-    leaves = jumps.filter(F.col("up").isNull()).join(parents, ["tree", "node_id"], "left_anti")
+    base = f"{shared_dir(messages.sparkSession)}/chat-jumps-{uuid.uuid4().hex}"
+    start = linked.select("tree", "node_id", F.when(F.col("__known"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("steps"), "score")
+    start.write.parquet(f"{base}/round=0")
+
+    def table() -> DataFrame:
+        return messages.sparkSession.read.schema(StructType([*start.schema.fields, StructField("round", IntegerType())])).parquet(base)
+
+    rounds, n_messages = 0, table().count()  # no path is longer than the table
+    while not table().filter((F.col("round") == rounds) & F.col("up").isNotNull()).isEmpty() and 2**rounds <= n_messages:
+        live = table().filter((F.col("round") == rounds) & F.col("up").isNotNull()).drop("round")
+        # where a jump lands: at one that goes on, or at one that has come to its root in any round
+        far = table().filter((F.col("up").isNull()) | (F.col("round") == rounds)).select("tree", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("score").alias("__score"))
+        doubled = live.join(far, ["tree", "up"]).select("tree", "node_id", F.col("__up").alias("up"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("score") + F.col("__score")).alias("score"))
+        rounds += 1
+        doubled.write.parquet(f"{base}/round={rounds}")
+    jumps = table().filter(F.col("round") == 0)
+    ended = table().filter(F.col("up").isNull())
+    parents = jumps.filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node_id")).distinct()
+    leaves = ended.join(parents, ["tree", "node_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "node_id"))
     chosen = leaves.withColumn("path_rank", rank).filter(F.col("path_rank") <= keep).select("tree", F.col("node_id").alias("leaf_id"), "path_rank", F.col("steps").alias("position"), "node_id")
     on_path = chosen
-    for level, jump in reversed(list(enumerate(levels[:-1]))):  # each step taken or not: all distances from the leaf
-        hop = jump.filter(F.col("up").isNotNull()).select("tree", "node_id", "up")
+    for level in reversed(range(rounds)):  # each jump taken or not: all distances from the leaf
+        hop = table().filter((F.col("round") == level) & F.col("up").isNotNull()).select("tree", "node_id", "up")
         on_path = on_path.unionByName(on_path.join(hop, ["tree", "node_id"]).select("tree", "leaf_id", "path_rank", (F.col("position") - 2**level).alias("position"), F.col("up").alias("node_id")))
         on_path = materialize(on_path, "chat-paths") if level else on_path
     return on_path.select(F.col("tree.tree_id").alias("tree_id"), "leaf_id", "path_rank", (F.col("position") - 1).alias("position"), "node_id")
