@@ -35,7 +35,7 @@ from footfall.llm.tokens import chunks
 MARK, END = "▁", " "  # a blank is in no word
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Frequent words that are scored in place; characters of the words that are worked on at once.
-HOT_WORDS, AT_ONCE = 200_000, 1 << 18
+HOT_WORDS, AT_ONCE = 100_000, 1 << 18
 #: Classes at most: the largest; training texts of others count only in the weights of all.
 MAX_CLASSES = 8
 FILTER_BITS = 22
@@ -203,8 +203,8 @@ def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
 
         summed = counts.filter((F.col("c") > 0) & (F.col("word") != END)).select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         got = np.full(len(pieces), 0.01)
-        for r in summed.collect():  # a row for each piece of the vocabulary at most
-            got[r["piece"]] += r["n"]
+        rows = summed.toArrow()  # a row for each piece of the vocabulary at most
+        got[rows["piece"].to_numpy()] += rows["n"].to_numpy()
         got[-1] = max(got.sum() * 1e-3, 1.0)
         logp = np.log(got / got.sum())
     return logp
@@ -242,13 +242,22 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
 
     values = ["known", "base", *scores]
     scored = materialize(counts.mapInArrow(judge, "word string, n long, " + ", ".join(f"{c} double" for c in values)), "word-scores")
-    hot = scored.orderBy(F.desc("n"), "word").limit(hot_words).collect()  # a fixed number of rows
-    table = documents.sparkSession.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(hot)}, np.array([[r[c] for c in values] for r in hot], float).reshape(-1, len(values))))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    least, held = 1 << 30, 0
+    for r in scored.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # sixteen for each power of two
+        held += r["count"]
+        if held > hot_words:
+            break
+        least = r["level"]
+    hot = scored.filter(level >= least).select("word", *values).toArrow()  # at most ``hot_words`` rows
+    known_values = np.stack([hot[c].to_numpy() for c in values], 1)
+    table = documents.sparkSession.sparkContext.broadcast((hot["word"].combine_chunks(), known_values))
     del hot
     names = ["row_id", "word", "doc_id", "times", "n_tokens", *values]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = table.value
+        names_known, known = table.value
+        index = {w: i for i, w in enumerate(names_known.to_pylist())}
         known = np.vstack([known, np.zeros((1, len(values)))])
         nowhere = len(known) - 1
         end = known[index.get(END, nowhere)]
