@@ -50,6 +50,18 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts in an Arrow batch at most: batches of whole texts are held several times over, in the JVM and in Python.
+TEXTS_IN_BATCH = 1000
+
+
+def texts_for_python(documents: DataFrame, *columns: Column) -> DataFrame:
+    """Columns that a Python function will read, in batches small enough for long texts."""
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXTS_IN_BATCH:
+        conf.set(name, str(TEXTS_IN_BATCH))
+    return documents.select(*columns)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -10,8 +10,8 @@ texts have: with the lattice's share ``a`` (as many as there are words seen once
 training tokens and lattice probability ``q``, the word's is ``p = (c + a q) / (N + a)``. The end of a text is a
 token of its own, with the piece for it.
 
-Texts fall into classes, say languages, that have weights of their own: the counts ``c'`` and ``N'`` of a class's
-training texts give ``(c' + a' p) / (N' + a')``. The class of a text to be scored is not looked at: its probability is
+Texts fall into classes, say languages, that have weights of their own: in a class the pieces' probabilities ``q`` are
+re-estimated once more on its own words, and the counts ``c'`` and ``N'`` of its training texts give ``(c' + a' p) / (N' + a')``. The class of a text to be scored is not looked at: its probability is
 the sum over the classes, each weighted by its share of the training texts.
 
 Statistics are over all words of all texts. The words that are most frequent, a fixed number, are scored
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import materialize
+from footfall.llm.common import materialize, texts_for_python
 from footfall.llm.tokens import chunks
 
 MARK, END = "▁", " "  # a blank is in no word
@@ -91,16 +91,20 @@ class Lattice:
         out[some] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
         return out
 
-    def _spelt(self, codes: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+    def _spelt(self, codes: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
         """Log-probability of each character by its bytes, and the pieces that spells it."""
         distinct, where = np.unique(codes, return_inverse=True)
         spelt = {int(c): [self.bytes_at[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in distinct}
-        return np.array([self.logp[spelt[int(c)]].sum() for c in distinct])[where].reshape(codes.shape), spelt
+        return np.array([logp[spelt[int(c)]].sum() for c in distinct])[where].reshape(codes.shape), spelt
 
-    def run(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probability of each word; with ``counts``, also how often each piece is expected in them."""
-        out = np.zeros(len(words))
-        expected = np.zeros(len(self.pieces)) if counts is not None else None
+    def run(self, words: list[str], counts: np.ndarray | None = None, others: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probability of each word; with ``counts``, also how often each piece is expected in them.
+
+        ``counts`` is words x kinds, and so are the expected numbers pieces x kinds. With ``others``, more
+        log-probabilities of the pieces, there is a row of results for each, after the lattice's own.
+        """
+        out = np.zeros((1 + len(others), len(words)))
+        expected = np.zeros((len(self.pieces), counts.shape[1])) if counts is not None else None
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         by_size = np.argsort(sizes, kind="stable")
         edges = np.flatnonzero(np.diff(sizes[by_size], prepend=-1))
@@ -111,35 +115,40 @@ class Lattice:
                 rows = by_size[i : min(b, i + step)]
                 text = "".join(MARK + words[r] for r in rows)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size)
-                out[rows] = self._group(codes, counts[rows] if counts is not None else None, expected)
-        return out, expected
+                out[:, rows] = self._group(codes, counts[rows] if counts is not None else None, expected, others)
+        return (out if len(others) else out[0]), expected
 
-    def _group(self, codes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+    def _group(self, codes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None, others: list[np.ndarray]) -> np.ndarray:
         n, size = codes.shape
         with np.errstate(over="ignore"):
             prefix = np.zeros((n, size + 1), np.uint64)
             for j in range(size):
                 prefix[:, j + 1] = prefix[:, j] * BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
             piece = {k: self._find(prefix[:, k:] - prefix[:, :-k] * self.powers[k] + np.uint64(k)) for k in range(1, min(self.longest, size) + 1)}
-        spelt, spelling = self._spelt(codes)
-        weight = {k: np.where(p >= 0, self.logp[p], spelt if k == 1 else -np.inf) for k, p in piece.items()}
         live = [k for k, p in piece.items() if k == 1 or (p >= 0).any()]
-        forward = np.zeros((size + 1, n))
-        for j in range(1, size + 1):
-            forward[j] = _add_logs([forward[j - k] + weight[k][:, j - k] for k in live if k <= j])
+        ends = []
+        for logp in [*others[::-1], self.logp]:  # its own last: the backward pass goes on with it
+            spelt, spelling = self._spelt(codes, logp)
+            weight = {k: np.where(piece[k] >= 0, logp[piece[k]], spelt if k == 1 else -np.inf) for k in live}
+            forward = np.zeros((size + 1, n))
+            for j in range(1, size + 1):
+                forward[j] = _add_logs([forward[j - k] + weight[k][:, j - k] for k in live if k <= j])
+            ends.append(forward[size])
         if counts is None:
-            return forward[size]
+            return np.stack(ends[::-1])
         backward = np.zeros((size + 1, n))
         for j in range(size - 1, -1, -1):
             backward[j] = _add_logs([backward[j + k] + weight[k][:, j] for k in live if j + k <= size])
         for k in live:
-            share = np.exp(forward[: size - k + 1].T + weight[k] + backward[k:].T - forward[size][:, None]) * counts[:, None]
+            share = np.exp(forward[: size - k + 1].T + weight[k] + backward[k:].T - forward[size][:, None])
             known = piece[k] >= 0
-            expected += np.bincount(piece[k][known], share[known], minlength=len(expected))
-            if k == 1:
-                for c, s in zip(codes[~known].tolist(), share[~known].tolist(), strict=True):
+            row = np.nonzero(known)[0]
+            for kind in range(counts.shape[1]):
+                expected[:, kind] += np.bincount(piece[k][known], share[known] * counts[row, kind], minlength=len(expected))
+            if k == 1 and not known.all():
+                for i, c, s in zip(np.nonzero(~known)[0], codes[~known].tolist(), share[~known].tolist(), strict=True):
                     for b in spelling[c]:
-                        expected[b] += s
+                        expected[b] += s * counts[i]
         return forward[size]
 
 
@@ -187,27 +196,36 @@ def word_counts(documents: DataFrame, n_classes: int) -> DataFrame:
     return documents.select("text", "train", "class").mapInArrow(count, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
-def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int) -> np.ndarray:
-    """Log-probabilities of the pieces after some rounds over the distinct training words."""
-    for _ in range(rounds):
-        now = logp
+def _normal(counted: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the pieces from their expected numbers, and of the end."""
+    got = counted + 0.01
+    got[-1] = max(got.sum() * 1e-3, 1.0)
+    return np.log(got / got.sum())
+
+
+def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int, by_class: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log-probabilities of the pieces after some rounds over the distinct training words, and those of each class.
+
+    The last round also counts by class; a class's numbers are smoothed by those of all.
+    """
+    classes = [logp] * len(by_class)
+    for round_ in range(rounds):
+        now, columns = logp, ["c", *(by_class if round_ == rounds - 1 else [])]
 
-        def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(pieces, now), np.zeros(len(pieces))
+        def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, columns: list[str] = columns) -> Iterator[pa.RecordBatch]:
+            lattice, total = Lattice(pieces, now), np.zeros((len(pieces), len(columns)))
             for batch in batches:
-                words = batch.column(0).to_pylist()
-                total += lattice.run(words, np.ones(len(words)))[1]
-                total[-1] += 1e-9
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+                total += lattice.run(batch.column("word").to_pylist(), np.stack([batch.column(c).to_numpy() > 0 for c in columns], 1).astype(float))[1]
+            some = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(len(columns)))], ["piece", *columns])
 
-        summed = counts.filter((F.col("c") > 0) & (F.col("word") != END)).select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        got = np.full(len(pieces), 0.01)
-        rows = summed.toArrow()  # a row for each piece of the vocabulary at most
-        got[rows["piece"].to_numpy()] += rows["n"].to_numpy()
-        got[-1] = max(got.sum() * 1e-3, 1.0)
-        logp = np.log(got / got.sum())
-    return logp
+        summed = counts.filter((F.col("c") > 0) & (F.col("word") != END)).select("word", *columns).mapInArrow(expect, "piece long, " + ", ".join(f"{c} double" for c in columns))
+        rows = summed.groupBy("piece").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # a row for each piece of the vocabulary at most
+        numbers = np.zeros((len(pieces), len(columns)))
+        numbers[rows["piece"].to_numpy()] = np.stack([rows[c].to_numpy() for c in columns], 1)
+        logp = _normal(numbers[:, 0])
+        classes = [_normal(numbers[:, k] + 100.0 * np.exp(logp)) for k in range(1, len(columns))] or classes
+    return logp, classes
 
 
 def lattice_scores(documents: DataFrame, train: str = "train", class_col: str | None = None, model_file: str | None = None, rounds: int = 2, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -215,7 +233,7 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
     learn = F.coalesce(train, F.lit(False))
     classes = [r[0] for r in documents.filter(learn & F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(MAX_CLASSES).collect()] if class_col else []
     own = F.coalesce(*[F.when(F.col(class_col) == x, k) for k, x in enumerate(classes)]) if classes else F.lit(0)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("train"), own.cast("int").alias("class"))
+    docs = texts_for_python(documents, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("train"), own.cast("int").alias("class"))
     pieces, logp = vocabulary(model_file or default_vocabulary())
     by_class = [f"c{k}" for k in range(max(1, len(classes)))]
     counts = materialize(word_counts(docs, len(by_class)), "word-counts")
@@ -225,18 +243,21 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
     sums, shares = [total[f"sum_{c}"] for c in columns], [float(total[f"once_{c}"] + 1) for c in columns]
     texts = sum(total[f"texts_{c}"] for c in by_class)
     prior = [(total[f"texts_{c}"] / texts if texts else 1.0 / len(by_class)) for c in by_class]
-    logp = estimate(counts, pieces, logp, rounds)
+    logp, own_logp = estimate(counts, pieces, logp, rounds, by_class)
     scores = [f"s{k}" for k in range(len(by_class))]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logp)
         for batch in batches:
             words, seen = batch.column("word").to_pylist(), [batch.column(c).to_numpy() for c in columns]
-            q = lattice.run([w if w != END else "" for w in words])[0]
-            q[[i for i, w in enumerate(words) if w == END]] = logp[-1]
+            q = lattice.run([w if w != END else "" for w in words], others=own_logp)[0]
+            for row, weights in zip(q, [logp, *own_logp], strict=True):
+                row[[i for i, w in enumerate(words) if w == END]] = weights[-1]
             with np.errstate(divide="ignore"):
-                p = np.logaddexp(np.log(seen[0]), np.log(shares[0]) + q) - np.log(sums[0] + shares[0])
-                each = [(np.logaddexp(np.log(c), np.log(a) + p) - np.log(m + a)) / np.log(10) for c, m, a in zip(seen[1:], sums[1:], shares[1:], strict=True)]
+                each = []
+                for own, c, m, a in zip(q[1:], seen[1:], sums[1:], shares[1:], strict=True):
+                    p = np.logaddexp(np.log(seen[0]), np.log(shares[0]) + own) - np.log(sums[0] + shares[0])
+                    each.append((np.logaddexp(np.log(c), np.log(a) + p) - np.log(m + a)) / np.log(10))
             base = np.log10((seen[0] + 0.5) / (n + 0.5 * (v + 1)))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array((seen[0] > 0).astype(float)), pa.array(base), *map(pa.array, each)], ["word", "n", "known", "base", *scores])
 
