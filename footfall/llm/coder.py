@@ -28,8 +28,8 @@ MAGIC = b"CMR1"
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, CRC-32 of the coded bytes, CRC-32 of the ids
 STEP, WEIGHT_BITS, CONTEXT_BITS = 32, 12, 18
 WEIGHT = 1 << WEIGHT_BITS
-TOP, BOTTOM = np.uint64(1 << 56), np.uint64(1 << 40)
-BYTE, SHIFT = np.uint64(8), np.uint64(56)
+BOTTOM, BYTE, SHIFT = np.uint64(1 << 40), np.uint64(8), np.uint64(56)
+SETTLED = [np.uint64(1 << b) for b in (56, 48, 40)]
 
 
 class Mixer:
@@ -63,9 +63,9 @@ class Mixer:
         n = len(ids)
         np.add.at(self.counts, ids, STEP)
         hit_two, hit_one = self.a == ids, self.b == ids
-        np.add.at(self.seen, self.cell, 1)
-        np.add.at(self.right_two, self.cell, hit_two.astype(np.int64))
-        np.add.at(self.right_one, self.cell, hit_one.astype(np.int64))
+        self.seen += np.bincount(self.cell, minlength=128)
+        self.right_two += np.bincount(self.cell[hit_two], minlength=128)
+        self.right_one += np.bincount(self.cell[hit_one], minlength=128)
         for best, sure, at, guess, hit in ((self.two, self.sure_two, self.at_two, self.a, hit_two), (self.one, self.sure_one, self.at_one, self.b, hit_one)):
             was = sure[at]
             best[at] = np.where(hit | (was > 1), guess, ids)
@@ -76,11 +76,30 @@ class Mixer:
 
 def _shape(n: int) -> tuple[int, int]:
     """Lanes and ids in each lane (fewer in the last)."""
-    lanes = max(1, min(2048, n // 512))
+    lanes = max(1, min(8192, n // 512))
     length = -(-n // lanes)
     return -(-n // length) if n else 0, length
 
 
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """How many leading bytes of each lane can change no more, up to three.
+
+    A lane whose range is too small for that to happen by itself is cut down to one leading byte.
+    """
+    open_bits = low ^ (low + span)
+    n = sum((open_bits < b).astype(np.uint64) for b in SETTLED)
+    short = (n == 0) & (span < BOTTOM)
+    if short.any():
+        span[short] = (np.uint64(0) - low[short]) & (BOTTOM - np.uint64(1))
+        n[short] = 1
+    return n
+
+
+def _more(n: np.ndarray, span: np.ndarray) -> bool:
+    """Whether lanes that gave off ``n`` bytes have to be looked at again."""
+    return bool((n == 3).any() or (span < BOTTOM).any())
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
@@ -94,10 +113,6 @@ def encode_block(ids: np.ndarray) -> bytes:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out_lane, out_byte = [], []
 
-    def emit(who: np.ndarray) -> None:
-        out_lane.append(who)
-        out_byte.append((low[who] >> SHIFT).astype(np.uint8))
-
     with np.errstate(over="ignore"):
         for t in range(length if n else 0):
             k = lanes if t < full else lanes - 1
@@ -109,20 +124,21 @@ def encode_block(ids: np.ndarray) -> bytes:
             unit = span[:k] // np.uint64(total * WEIGHT)
             low[:k] += unit * start.astype(np.uint64)
             span[:k] = unit * size.astype(np.uint64)
-            who = np.arange(k)
-            while len(who):
-                settled = (low[who] ^ (low[who] + span[who])) < TOP
-                short = ~settled & (span[who] < BOTTOM)
-                cut = who[short]
-                span[cut] = (np.uint64(0) - low[cut]) & (BOTTOM - np.uint64(1))
-                who = who[settled | short]
-                if len(who):
-                    emit(who)
-                    low[who] <<= BYTE
-                    span[who] <<= BYTE
+            part, width = low[:k], span[:k]
+            while True:
+                gone = _settled(part, width)
+                for j in range(int(gone.max())):
+                    who = np.flatnonzero(gone > j)
+                    out_lane.append(who)
+                    out_byte.append((part[who] >> SHIFT).astype(np.uint8))
+                    part[who] <<= BYTE
+                width <<= gone * BYTE
+                if not _more(gone, width):
+                    break
             model.learn(s)
         for _ in range(8 if n else 0):
-            emit(np.arange(lanes))
+            out_lane.append(np.arange(lanes))
+            out_byte.append((low >> SHIFT).astype(np.uint8))
             low <<= BYTE
     lane, data = (np.concatenate(out_lane), np.concatenate(out_byte)) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + data[np.argsort(lane, kind="stable")].tobytes()
@@ -142,6 +158,7 @@ def decode_block(block: bytes) -> np.ndarray:
     sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     data = np.concatenate([np.frombuffer(body, np.uint8, offset=4 * lanes), np.zeros(8, np.uint8)]).astype(np.uint64)
     at = np.cumsum(sizes) - sizes
+    ahead = (data[:-2] << np.uint64(16)) | (data[1:-1] << BYTE) | data[2:]  # three bytes from each on
     model = Mixer(vocabulary, lanes)
     low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
     for _ in range(8):
@@ -166,18 +183,16 @@ def decode_block(block: bytes) -> np.ndarray:
             size = rest * model.counts[s] + total * (lo_w * (lo == s) + hi_w * (hi == s))
             low[:k] += unit * start.astype(np.uint64)
             span[:k] = unit * size.astype(np.uint64)
-            who = np.arange(k)
-            while len(who):
-                settled = (low[who] ^ (low[who] + span[who])) < TOP
-                short = ~settled & (span[who] < BOTTOM)
-                cut = who[short]
-                span[cut] = (np.uint64(0) - low[cut]) & (BOTTOM - np.uint64(1))
-                who = who[settled | short]
-                if len(who):
-                    low[who] <<= BYTE
-                    span[who] <<= BYTE
-                    code[who] = (code[who] << BYTE) | data[at[who]]
-                    at[who] += 1
+            part, width = low[:k], span[:k]
+            while True:
+                gone = _settled(part, width)
+                bits = gone * BYTE
+                part <<= bits
+                width <<= bits
+                code[:k] = (code[:k] << bits) | (ahead[at[:k]] >> (np.uint64(24) - bits))
+                at[:k] += gone.astype(np.int64)
+                if not _more(gone, width):
+                    break
             grid[t, :k] = s
             model.learn(s)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]

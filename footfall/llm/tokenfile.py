@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.llm.coder import decode_block, encode_block
-from footfall.llm.common import shuffle_width
+from footfall.llm.common import shuffle_width, texts_for_python
 from footfall.llm.tokens import chunks, default_tokenizer, encoder
 
 #: Ids after which a block is closed.
-BLOCK_IDS = 2 << 20
+BLOCK_IDS = 4 << 20
 TABLE = struct.Struct("<II")
 NULL_ID = -(1 << 63)
 SCHEMA = "file int, place int, before long, n_ids long, block binary"
@@ -46,7 +46,7 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def write_token_files(documents: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of every whole text, each followed by ``end_id``, to token files in ``path``. A null text is empty."""
     source = tokenizer or default_tokenizer()
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = texts_for_python(documents, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = docs.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,10 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.common import texts_for_python
+
 #: Distinct words that a task remembers, and bytes of text that it encodes at once.
-MEMO_WORDS, CHUNK_BYTES = 1_000_000, 4 << 20
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+MEMO_WORDS, CHUNK_BYTES = 600_000, 4 << 20
+#: A word with this goes through the tokenizer by itself: other characters, or what might be a special token.
+ODD = r"[^\x21-\x7eÀ-ÿ]|<\|"
+#: Ends of words, and what the tokenizer splits them into.
+PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def default_tokenizer() -> str:
@@ -46,43 +50,53 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
         rest = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.forget()
-
-    def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _pieces(self, parts: list[str]) -> dict[str, list[int]]:
+        self.flat, self.starts, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self, most: int) -> None:
+        """Keep the ids of the ``most`` words that came most often."""
+        keep = np.zeros(len(self.used), bool)
+        keep[np.argsort(-self.used, kind="stable")[:most]] = True
+        words = [w for w, kept in zip(self.memo, keep.tolist(), strict=True) if kept]
+        self.memo = dict(zip(words, range(len(words)), strict=True))
+        starts, self.sizes, self.used = self.starts[keep], self.sizes[keep], self.used[keep] // 2
+        until = np.cumsum(self.sizes)
+        self.flat = self.flat[np.repeat(starts - until + self.sizes, self.sizes) + np.arange(until[-1] if len(until) else 0)]
+        self.starts = until - self.sizes
+
+    def _pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts of words, where each part's begin, and how many they are."""
         shown = [p.encode().decode("latin-1").translate(self.shown) for p in parts]
         joined = [" ".join(shown[i : i + 2000]) for i in range(0, len(shown), 2000)]
-        encoded = [e.ids for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.array([i for e in encoded for i in e], np.int64)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False))])
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts):
             raise ValueError("the vocabulary doesn't end each piece of a word with </w>")
-        ids = ids.tolist()
-        return {p: ids[a:b] for p, a, b in zip(parts, [0, *stops[:-1].tolist()], stops.tolist(), strict=True)}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = {w: PARTS.findall(w.lower()) for w in words if PLAIN.fullmatch(w) and "<|" not in w}
-        pieces = self._pieces(list({p for parts in plain.values() for p in parts})) if plain else {}
-        other = [w for w in words if w not in plain]
-        whole = dict(zip(other, (e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)), strict=True)) if other else {}
-        ids: list[int] = []
-        sizes = np.zeros(len(words), np.int64)
-        for k, w in enumerate(words):
-            at = len(ids)
-            if w in plain:
-                for p in plain[w]:
-                    ids += pieces[p]
-            else:
-                ids += whole[w]
-            sizes[k] = len(ids) - at
-        first = len(self.flat)
+        sizes = np.diff(stops, prepend=0)
+        return ids, stops - sizes, sizes
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.memo.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, first + np.cumsum(sizes) - sizes])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def _learn(self, words: pa.Array) -> None:
+        odd = pc.match_substring_regex(words, ODD)
+        plain, other = words.filter(pc.invert(odd)).to_pylist(), words.filter(odd).to_pylist()
+        if plain:
+            number = {"\n": 0}
+            parts = np.array([number.setdefault(p, len(number)) for p in PARTS.findall("\n".join([*plain, ""]).lower())], np.int64)
+            ids, starts, sizes = self._pieces(list(number)[1:])
+            starts, sizes = np.append(0, starts), np.append(0, sizes)
+            each = sizes[parts]
+            until = np.cumsum(each)
+            own = np.diff(until[parts == 0], prepend=0)
+            self._add(plain, ids[np.repeat(starts[parts] - until + each, each) + np.arange(until[-1])], own)
+        if other:
+            encoded = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.array([i for e in encoded for i in e], np.uint32), np.array([len(e) for e in encoded], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the place in them where each text starts (one more than texts)."""
@@ -91,11 +105,12 @@ class WordEncoder:
         coded = words[0].dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.memo) + len(distinct) > MEMO_WORDS:
-            self.forget()
-        new = [w for w in distinct if w not in self.memo]
-        if new:
-            self._learn(new)
+            self.forget(MEMO_WORDS // 3)
+        new = np.array([w not in self.memo for w in distinct], bool)
+        if new.any():
+            self._learn(coded.dictionary.filter(pa.array(new)))
         which = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        self.used += np.bincount(which, minlength=len(self.used))
         sizes, starts = self.sizes[which], self.starts[which]
         until = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(starts - until[:-1], sizes) + np.arange(until[-1])]
@@ -123,11 +138,13 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = max(until, at + 1)
 
 
-def token_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "<u4", reserved: int | None = None) -> DataFrame:
     """doc_id, n_tokens and ids: little-endian unsigned 32-bit ids of each whole text, then ``end_id`` if there is one.
 
-    A null text is the empty one. Rows stay as they are dealt; extra columns are ignored.
+    A null text is the empty one. Rows stay as they are dealt; extra columns are ignored. With another
+    ``id_type`` (of numpy), an id that it can't hold, or that is the ``reserved`` one, is an error.
     """
+    width, most = np.dtype(id_type).itemsize, np.iinfo(np.dtype(id_type)).max
     path = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +156,11 @@ def token_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int |
                 if end_id is not None:
                     ids = np.insert(ids, at[1:], np.uint32(end_id))
                     at = at + np.arange(len(at))
-                data = np.ascontiguousarray(ids, "<u4")
-                packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(data)])
+                if len(ids) and (int(ids.max()) > most or (reserved is not None and (ids == reserved).any())):
+                    raise ValueError("an id is too large for its type, or is reserved")
+                data = np.ascontiguousarray(ids, id_type)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), packed], ["doc_id", "n_tokens", "ids"])
 
-    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = texts_for_python(documents, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
