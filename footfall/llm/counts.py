@@ -17,43 +17,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from footfall.llm.common import materialize
 from footfall.llm.tokens import token_ids
 
 #: Ids in a block, and those of a flat file: big-endian 16 bits, with an end of document
 #: that no vocabulary of fewer ids has. As text, those two bytes are the character U+07FF.
 BLOCK_IDS, ID_TYPE, END_ID = 1 << 18, ">u2", 0xDFBF
+#: Documents in a file at most, so that a file is a small row when it is read.
+FILE_DOCUMENTS = 2000
 
 
 def write_flat(documents: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", id_type: str = ID_TYPE, end_id: int = END_ID) -> None:
-    """Write the ids of every whole text and an end of document after each to flat files ``path/part=N/...``.
+    """Write the ids of every whole text and an end of document after each to flat files in ``path``.
 
-    N is the partition of ``documents`` that the file holds, in its order. The end is what Spark's
+    Their names say which partition of ``documents`` they hold, in its order, and which piece of it. The end is what Spark's
     text writer puts after each line, so its bytes must be UTF-8: a choice of ``end_id`` for the ``id_type``.
     """
     end = np.array([end_id], id_type).tobytes().decode()  # UnicodeDecodeError: choose another
-    tokens = token_ids(documents, tokenizer, None, id_col, text_col)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate([[0], np.cumsum(batch.column("n_tokens").to_numpy())])
-            wide = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
-            if len(wide) and (wide.max() > np.iinfo(np.dtype(id_type)).max or (wide == end_id).any()):
-                raise ValueError("an id is too large for this file, or is its end of document")
-            width = np.dtype(id_type).itemsize
-            yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(wide.astype(id_type))])], ["ids"])
-
-    lines = tokens.select("n_tokens", "ids").mapInArrow(narrow, "ids binary").select(F.spark_partition_id().alias("part"), F.col("ids").cast("string").alias("value"))
-    lines.write.partitionBy("part").option("lineSep", end).text(path)
+    tokens = token_ids(documents, tokenizer, None, id_col, text_col, id_type, end_id)
+    lines = tokens.select(F.col("ids").cast("string").alias("value"))  # narrow: a task writes its own partition, as it comes
+    lines.write.option("lineSep", end).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
 def scan_blocks(spark: SparkSession, path: str, id_type: str = ID_TYPE, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """part, block, ends, head, tail and inner: what each block of each flat file in ``path`` says by itself."""
+    """part, block, ends, head, tail and inner: what each block of each flat file in ``path`` says by itself.
+
+    Blocks of a part are numbered through its files, with gaps.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("int")
+    name = r"/part-(\d+)-[^/]*?[-.]c(\d+)\.[^/]*$"
+    part, file = (F.regexp_extract("path", name, k).cast("long") for k in (1, 2))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for own, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = np.frombuffer(content.as_buffer(), id_type)
                 for k in range(-(-len(ids) // block_ids)):
                     block = ids[k * block_ids : (k + 1) * block_ids]
@@ -62,9 +59,9 @@ def scan_blocks(spark: SparkSession, path: str, id_type: str = ID_TYPE, end_id:
                     head = int(ends[0]) if some else 0
                     tail = len(block) - 1 - int(ends[-1]) if some else len(block)
                     inner = np.diff(ends) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([k], pa.int32()), pa.array([n]), pa.array([head]), pa.array([tail]), pa.array([inner], pa.list_(pa.int64()))], ["part", "block", "ends", "head", "tail", "inner"])
+                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([(first << 32) + k]), pa.array([n]), pa.array([head]), pa.array([tail]), pa.array([inner], pa.list_(pa.int64()))], ["part", "block", "ends", "head", "tail", "inner"])
 
-    return files.select(part.alias("part"), "content").mapInArrow(scan, "part int, block int, ends long, head long, tail long, inner array<long>")
+    return files.select(part.cast("int").alias("part"), file.alias("file"), "content").mapInArrow(scan, "part int, block long, ends long, head long, tail long, inner array<long>")
 
 
 def _carried(pieces: DataFrame, within: list[str], order: str) -> DataFrame:
@@ -104,7 +101,7 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", **file
 
     Nulls, repeated rows and empty texts count like any others; a row that one side lacks is an error.
     """
-    counted = stitch(scan_blocks(documents.sparkSession, path, **file))
+    counted = stitch(materialize(scan_blocks(documents.sparkSession, path, **file), "token-blocks"))
     both = positions(documents, id_col).join(counted, ["part", "nth"], "full")
     return both.select("doc_id", "part", "nth", F.when(F.col("part").isNull() | F.col("n_tokens").isNull(), F.raise_error(F.lit("the files are not those of this table")).cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))
 
