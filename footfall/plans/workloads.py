@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.config import feature_names
-from footfall.functions.calendar import next_service_date
+from footfall.functions.calendar import next_service_date, with_calendar
 from footfall.operators import attendance, backtest, features, logs, models, weather
 from footfall.plans.fixtures import fixture, text
 from footfall.sources.files import read_version
@@ -49,17 +49,11 @@ def next_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = models.fit_final(frame, FEATURES, **QUICK)
     targets = attendance.state(history).select("location_id", next_service_date(F.col("last_date")).alias("service_date"))
     ready = features.fill_targets(weather.for_targets(features.target_features(history, targets), daily, daily), frame, FEATURES)
-    lags = features.with_lags(backtest_input(history))
+    lags = features.with_lags(with_calendar(history.select("location_id", "service_date", "visitors")))
     buffers = backtest.residual_buffer(backtest.naive_backtest(lags), lags.select("location_id", F.explode(F.array(F.lit("sat"), F.lit("sun"))).alias("segment")).distinct())
     return models.recommend(models.score(ready, packs, FEATURES), buffers)
 
 
-def backtest_input(history: DataFrame) -> DataFrame:
-    from footfall.functions.calendar import with_calendar
-
-    return with_calendar(history.select("location_id", "service_date", "visitors"))
-
-
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
