@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import materialize
+from footfall.llm.common import materialize, texts_for_python
 from footfall.llm.tokens import chunks
 
 #: Labelled documents at most, lexicon entries at most for each side, documents that a lexicon entry needs at least.
@@ -132,18 +132,22 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, trust: fl
     """
     p = np.clip(gold.astype(float), 1 - trust, trust)
     votes = votes.astype(np.float32)
+    together = (votes.T @ votes).astype(float)
     vote_of_gold = np.log(trust / (1 - trust)) * (2 * gold - 1)
     for _ in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        on = (p @ votes + 0.1) / (p.sum() + 0.2)
-        off = ((1 - p) @ votes + 0.1) / ((1 - p).sum() + 0.2)
-        rest = votes - (np.outer(p, on) + np.outer(1 - p, off)).astype(np.float32)
-        scale = np.sqrt((rest * rest).mean(0)) + 1e-6
-        shared = (rest / scale).T @ (rest / scale) / len(rest)
+        yes, no = p @ votes, (1 - p) @ votes
+        on, off = (yes + 0.1) / (p.sum() + 0.2), (no + 0.1) / ((1 - p).sum() + 0.2)
+        # covariance of what the classes leave unexplained: sums over (votes - p on - (1 - p) off), multiplied out
+        cross = np.outer(on, yes) + np.outer(off, no)
+        mixed = np.outer(on, off) * (p @ (1 - p))
+        rest = together - cross - cross.T + np.outer(on, on) * (p @ p) + np.outer(off, off) * ((1 - p) @ (1 - p)) + mixed + mixed.T
+        scale = np.sqrt(np.maximum(np.diag(rest), 0)) + 1e-6 * np.sqrt(len(votes))
+        shared = rest / np.outer(scale, scale)
         np.fill_diagonal(shared, 0)
         share = 1.0 / (1.0 + (shared**2).sum(0))
-        yes, no = np.log(on / off) * share, np.log((1 - on) / (1 - off)) * share
-        score = np.log(prior / (1 - prior)) + votes @ yes + (1 - votes) @ no + vote_of_gold
+        fires, silent = np.log(on / off) * share, np.log((1 - on) / (1 - off)) * share
+        score = np.log(prior / (1 - prior)) + votes @ (fires - silent).astype(np.float32) + silent.sum() + vote_of_gold
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         if np.abs(new - p).max() < 1e-4:
             return new
@@ -154,14 +158,20 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, trust: fl
 def linear_classifier(features: np.ndarray, target: np.ndarray, l2: float = 1e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by accelerated gradient steps."""
     x = np.hstack([features, np.ones((len(features), 1))]).astype(np.float32)
-    step = 4.0 / (np.linalg.norm(x, 2) ** 2 / len(x) + l2)
-    w = v = np.zeros(x.shape[1])
+    top = np.ones(x.shape[1], np.float32)
+    for _ in range(30):  # the largest eigenvalue, by power iteration; a little more than that is safe
+        top = x.T @ (x @ top)
+        size = float(np.linalg.norm(top))
+        top = top / size
+    step = np.float32(4.0 / (1.1 * size / len(x) + l2))
+    w = v = np.zeros(x.shape[1], np.float32)
+    target = target.astype(np.float32)
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        grad = x.T @ (p - target) / len(x) + l2 * np.append(v[:-1], 0.0)
+        grad = x.T @ (p - target) / np.float32(len(x)) + np.float32(l2) * np.append(v[:-1], np.float32(0))
         new = v - step * grad
-        v, w = new + k / (k + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
+    return w[:-1].astype(float), float(w[-1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> Model:
@@ -210,5 +220,5 @@ def score(model: Model):
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> DataFrame:
     """``documents`` with toxicity_score; every row stays, and every column."""
-    return documents.withColumn("toxicity_score", score(fit(documents, labels, max_labelled, max_voters))(F.col("text")))
+    return texts_for_python(documents, "*").withColumn("toxicity_score", score(fit(documents, labels, max_labelled, max_voters))(F.col("text")))
 
