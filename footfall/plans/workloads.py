@@ -16,8 +16,6 @@ from footfall.sources.files import read_version
 from footfall.streaming import jobs
 
 FEATURES = feature_names(True)
-#: Smaller than the defaults, so that a registered query ends in time; the jobs take the full sizes as they are.
-QUICK = {"n_trees": 40, "rounds": 40}
 
 
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,20 +23,20 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward predictions by the tree models, of each segment's last four folds."""
-    return models.backtest(training_frame(spark, sf_dir), FEATURES, max_folds=4, **QUICK)
+    """Walk-forward predictions by the tree models, of every fold of each segment."""
+    return models.backtest(training_frame(spark, sf_dir), FEATURES)
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the models' backtest in every scope, as one JSON object for each location."""
     frame = training_frame(spark, sf_dir)
-    predictions = models.backtest(frame, FEATURES, max_folds=4, **QUICK)
+    predictions = models.backtest(frame, FEATURES)
     return backtest.metrics_json(backtest.metrics_by_scope(predictions, frame.select("location_id")))
 
 
 def final_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final models of every location and segment."""
-    packs = models.fit_final(training_frame(spark, sf_dir), FEATURES, **QUICK)
+    packs = models.fit_final(training_frame(spark, sf_dir), FEATURES)
     return packs.select("location_id", "segment", "status", "error_message", F.length("point_model").alias("point_bytes"), F.length("quantile_model").alias("quantile_bytes"))
 
 
@@ -46,7 +44,7 @@ def next_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next service date of every location: features, models, forecast, meals."""
     history, daily = fixture(spark, sf_dir, "attendance"), fixture(spark, sf_dir, "weather_daily")
     frame = features.training_frame(history, daily)
-    packs = models.fit_final(frame, FEATURES, **QUICK)
+    packs = models.fit_final(frame, FEATURES)
     targets = attendance.state(history).select("location_id", next_service_date(F.col("last_date")).alias("service_date"))
     ready = features.fill_targets(weather.for_targets(features.target_features(history, targets), daily, daily), frame, FEATURES)
     lags = features.with_lags(with_calendar(history.select("location_id", "service_date", "visitors")))
