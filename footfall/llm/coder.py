@@ -10,7 +10,7 @@ The model mixes three predictions of the next id:
   order 1  the id that last followed the previous id, with a confidence of 0 to 7;
   order 2  the same for the previous two ids (hashed).
 How much weight orders 1 and 2 get is learnt for each pair of confidences from how often
-they were right. The mixture is one cumulative distribution over the vocabulary, so
+they were right. Counts of order 0 are halved, to 1 at least, before their total outgrows the range. The mixture is one cumulative distribution over the vocabulary, so
 one arithmetic coding step codes the id, with a 64-bit range and bytewise output.
 
 Block: magic, header, bytes of each lane, lanes; the header has a CRC-32 of all that
@@ -47,6 +47,9 @@ class Mixer:
     def predict(self, lanes: int) -> tuple[np.ndarray, ...]:
         """For each lane: weight of order 0, the two favoured ids in ascending order and their weights."""
         np.cumsum(self.counts, out=self.below[1:])
+        while int(self.below[-1]) * WEIGHT > int(BOTTOM) and self.counts.max() > 1:  # else a lane's range could be too small to be divided
+            self.counts = (self.counts + 1) >> 1
+            np.cumsum(self.counts, out=self.below[1:])
         self.at_one = self.last[:lanes]
         self.at_two = ((self.before[:lanes] * 0x9E3779B1 + self.at_one * 0x85EBCA6B) >> 7) & ((1 << CONTEXT_BITS) - 1)
         self.a, self.b = self.two[self.at_two], self.one[self.at_one]
