@@ -3,13 +3,12 @@
 The vocabularies concerned drop white space and never join characters across it, so a
 text's ids are those of its white-space-separated words in order. Each task encodes a
 distinct word once and keeps a bounded memo; ids of texts are then gathered with array
-operations. Words of ASCII and Latin-1 letters go through the tokenizer's model in bulk;
-any other word goes through the tokenizer whole, by itself.
+operations. Words of ASCII and Latin-1 letters go through the tokenizer's model in bulk, cut by
+array operations as its pre-tokenizer would; any other word goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,12 @@ from footfall.llm.common import texts_for_python
 
 #: Distinct words that a task remembers, and bytes of text that it encodes at once.
 MEMO_WORDS, CHUNK_BYTES = 600_000, 4 << 20
+#: Words that go to the tokenizer in one call.
+WORDS_IN_CALL = 2000
 #: A word with this goes through the tokenizer by itself: other characters, or what might be a special token.
 ODD = r"[^\x21-\x7eÀ-ÿ]|<\|"
-#: Ends of words, and what the tokenizer splits them into.
-PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Fixed value: what the vocabulary's pre-tokenizer splits a word in lower case into.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -34,6 +35,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The strings of an array without nulls, as Python's."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids of texts through a tokenizer of the word-BPE kind (lower case, ``</w>`` ends a piece)."""
 
@@ -49,73 +55,83 @@ class WordEncoder:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
         rest = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.memo: dict[str, int] = {}
+        self.shown = {b: chr(b) for b in (10, 32, *shown)} | {b: chr(256 + i) for i, b in enumerate(rest) if b not in (10, 32)}
+        self.words = pa.array([], pa.string())
         self.flat, self.starts, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def forget(self, most: int) -> None:
         """Keep the ids of the ``most`` words that came most often."""
         keep = np.zeros(len(self.used), bool)
         keep[np.argsort(-self.used, kind="stable")[:most]] = True
-        words = [w for w, kept in zip(self.memo, keep.tolist(), strict=True) if kept]
-        self.memo = dict(zip(words, range(len(words)), strict=True))
+        self.words = self.words.filter(pa.array(keep))
         starts, self.sizes, self.used = self.starts[keep], self.sizes[keep], self.used[keep] // 2
         until = np.cumsum(self.sizes)
         self.flat = self.flat[np.repeat(starts - until + self.sizes, self.sizes) + np.arange(until[-1] if len(until) else 0)]
         self.starts = until - self.sizes
 
-    def _pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of parts of words, where each part's begin, and how many they are."""
-        shown = [p.encode().decode("latin-1").translate(self.shown) for p in parts]
-        joined = [" ".join(shown[i : i + 2000]) for i in range(0, len(shown), 2000)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False))])
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(parts):
-            raise ValueError("the vocabulary doesn't end each piece of a word with </w>")
-        sizes = np.diff(stops, prepend=0)
-        return ids, stops - sizes, sizes
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.memo.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
+    def _pieces(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct parts of words, where each part's begin, and how many they are (an empty part has none)."""
+        at = np.append(np.arange(0, len(parts), WORDS_IN_CALL), len(parts)).astype(np.int32)
+        lines = strings(pc.binary_join(pa.ListArray.from_arrays(pa.array(at), parts), " "))
+        shown = [x if x.isascii() else x.encode().decode("latin-1").translate(self.shown) for x in lines]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(shown, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        some = np.asarray(pc.greater(pc.binary_length(parts), 0))
+        if len(stops) != some.sum():
+            raise ValueError("the vocabulary doesn't end each piece of a word with </w>")
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[some] = np.diff(stops, prepend=0)
+        return ids, np.cumsum(sizes) - sizes, sizes
+
     def _learn(self, words: pa.Array) -> None:
+        """Add words that the memo doesn't have, in an order of its own."""
         odd = pc.match_substring_regex(words, ODD)
-        plain, other = words.filter(pc.invert(odd)).to_pylist(), words.filter(odd).to_pylist()
-        if plain:
-            number = {"\n": 0}
-            parts = np.array([number.setdefault(p, len(number)) for p in PARTS.findall("\n".join([*plain, ""]).lower())], np.int64)
-            ids, starts, sizes = self._pieces(list(number)[1:])
-            starts, sizes = np.append(0, starts), np.append(0, sizes)
-            each = sizes[parts]
+        plain, other = words.filter(pc.invert(odd)), words.filter(odd)
+        if len(plain):
+            cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), PARTS, r"\0 "))
+            parts = pc.list_flatten(cut).dictionary_encode()
+            codes = parts.indices.to_numpy()
+            real = np.asarray(pc.greater(pc.binary_length(parts.dictionary), 0))[codes]  # the cut ends in a blank: an empty part
+            word = np.repeat(np.arange(len(plain)), np.diff(cut.offsets.to_numpy()))[real]
+            ids, starts, sizes = self._pieces(parts.dictionary)
+            codes = codes[real]
+            each = sizes[codes]
             until = np.cumsum(each)
-            own = np.diff(until[parts == 0], prepend=0)
-            self._add(plain, ids[np.repeat(starts[parts] - until + each, each) + np.arange(until[-1])], own)
-        if other:
-            encoded = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
+            gathered = ids[np.repeat(starts[codes] - until + each, each) + np.arange(each.sum())]
+            self._add(plain, gathered, np.bincount(word, each, len(plain)).astype(np.int64))
+        if len(other):
+            encoded = [e.ids for e in self.whole.encode_batch_fast(strings(other), add_special_tokens=False)]
             self._add(other, np.array([i for e in encoded for i in e], np.uint32), np.array([len(e) for e in encoded], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the place in them where each text starts (one more than texts)."""
         words = pc.ascii_split_whitespace(texts)
-        words = pc.list_flatten(words), words.offsets.to_numpy().astype(np.int64)
-        coded = words[0].dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.memo) + len(distinct) > MEMO_WORDS:
+        flat, offsets = pc.list_flatten(words), words.offsets.to_numpy().astype(np.int64)
+        known = pc.index_in(flat, value_set=self.words)
+        missing = flat.filter(pc.is_null(known))
+        new = missing.unique()
+        if len(self.words) and len(self.words) + len(new) > MEMO_WORDS:
             self.forget(MEMO_WORDS // 3)
-        new = np.array([w not in self.memo for w in distinct], bool)
-        if new.any():
-            self._learn(coded.dictionary.filter(pa.array(new)))
-        which = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            known = pc.index_in(flat, value_set=self.words)
+            missing = flat.filter(pc.is_null(known))
+            new = missing.unique()
+        which = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        if len(new):
+            before = len(self.words)
+            self._learn(new)
+            which[which < 0] = before + pc.index_in(missing, value_set=self.words[before:]).to_numpy()
         self.used += np.bincount(which, minlength=len(self.used))
         sizes, starts = self.sizes[which], self.starts[which]
         until = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(starts - until[:-1], sizes) + np.arange(until[-1])]
-        offsets = words[1] - words[1][0]
-        return ids, until[offsets]
+        return ids, until[offsets - offsets[0]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
