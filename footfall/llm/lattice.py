@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import materialize, texts_for_python
-from footfall.llm.tokens import chunks
+from footfall.llm.tokens import chunks, strings
 
 MARK, END = "▁", " "  # a blank is in no word
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)  # odd numbers: a rolling hash, and one that spreads it over all bits
 #: Frequent words that are scored in place; characters of the words that are worked on at once.
 HOT_WORDS, AT_ONCE = 100_000, 1 << 18
-#: Classes at most: the largest; training texts of others count only in the weights of all.
+#: Classes at most that stand by themselves: the largest; training texts of all others, and of none, are one class more.
 MAX_CLASSES = 8
-FILTER_BITS = 22
+FILTER_BITS = 21
 
 
 def vocabulary(model_file: str) -> tuple[list[str], np.ndarray]:
@@ -59,43 +59,79 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _hash(codes: np.ndarray) -> np.uint64:
-    h = np.uint64(0)
-    for c in codes:
-        h = h * BASE + np.uint64(int(c) + 1)
-    return h
+def _add_logs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log(exp(x) + exp(y)) of finite numbers; ``np.logaddexp`` in steps that numpy has vector code for."""
+    top = np.maximum(x, y)
+    return top + np.log(1.0 + np.exp(np.minimum(x, y) - top))
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of many words at once."""
+    """Forward and backward sums over the segmentations of many words at once.
+
+    Pieces are found by rolling hashes. A place is followed on only as long as what starts there begins some piece.
+    """
 
     def __init__(self, pieces: list[str], logp: np.ndarray):
         self.pieces, self.logp = pieces, logp
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")}
-        whole = [(i, p) for i, p in enumerate(pieces) if i not in set(self.bytes_at.values()) and p != END]
-        self.longest = max(len(p) for _, p in whole)
+        no_text = {*self.bytes_at.values(), *(i for i, p in enumerate(pieces) if p == END)}
+        ids = np.array([i for i in range(len(pieces)) if i not in no_text])
+        sizes = np.array([len(pieces[i]) for i in ids])
+        self.longest = int(sizes.max())
+        flat = np.frombuffer("".join(pieces[i] for i in ids).encode("utf-32-le"), np.uint32)
+        codes = np.zeros((len(ids), self.longest), np.uint64)
+        codes[np.arange(self.longest) < sizes[:, None]] = flat.astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]))
-            hashes = np.array([_hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)) + np.uint64(len(p)) for _, p in whole], np.uint64)
+            now, prefixes = np.zeros(len(ids), np.uint64), []
+            hashes = np.zeros(len(ids), np.uint64)
+            for k in range(1, self.longest + 1):
+                now = now * BASE + codes[:, k - 1]
+                prefixes.append((now[sizes >= k] + np.uint64(k)) * MIX)
+                hashes[sizes == k] = (now[sizes == k] + np.uint64(k)) * MIX
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array([i for i, _ in whole])[order]
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[hashes >> np.uint64(64 - FILTER_BITS)] = True
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece of each key, -1 where there is none."""
-        out = np.full(keys.shape, -1, np.int64)
-        some = np.nonzero(self.maybe[keys >> np.uint64(64 - FILTER_BITS)])
-        wanted = keys[some]
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        out[some] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
+        self.hashes, self.ids = hashes[order], ids[order]
+        self.maybe, self.begins = np.zeros(1 << FILTER_BITS, bool), np.zeros(1 << FILTER_BITS, bool)
+        head = self.hashes >> np.uint64(64 - FILTER_BITS)
+        self.maybe[head] = True
+        places, first, n = np.unique(head, return_index=True, return_counts=True)
+        self.first, self.run_length = np.zeros(1 << FILTER_BITS, np.int32), int(n.max())
+        self.first[places] = first
+        self.begins[np.concatenate(prefixes) >> np.uint64(64 - FILTER_BITS)] = True
+
+    def _edges(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length of a piece, from 1: rows, first places and pieces, wherever one is found, by place and row."""
+        n, size = codes.shape
+        prefix = np.zeros((size + 1, n), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                prefix[j + 1] = prefix[j] * BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
+            prefix = prefix.ravel()
+            at, out = np.arange(n * size), []
+            first = prefix[at]
+            for k in range(1, min(self.longest, size) + 1):
+                room = np.searchsorted(at, n * (size - k + 1))
+                at, first = at[:room], first[:room]
+                keys = (prefix[at + k * n] - first * self.powers[k] + np.uint64(k)) * MIX
+                place = keys >> np.uint64(64 - FILTER_BITS)
+                some = np.flatnonzero(self.maybe[place])
+                wanted, found = keys[some], self.first[place[some]].astype(np.int64)
+                real = self.hashes[found] == wanted
+                for _ in range(self.run_length - 1):  # pieces whose hashes start alike lie side by side
+                    other = np.flatnonzero(~real)
+                    found[other] = np.minimum(found[other] + 1, len(self.hashes) - 1)
+                    real[other] = self.hashes[found[other]] == wanted[other]
+                where = at[some[real]]
+                out.append((where % n, where // n, self.ids[found[real]]))
+                go_on = self.begins[place]
+                at, first = at[go_on], first[go_on]
         return out
 
     def _spelt(self, codes: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """Log-probability of each character by its bytes, and the pieces that spells it."""
+        """Log-probabilities of each character by its bytes, under each model, and the pieces that spell it."""
         distinct, where = np.unique(codes, return_inverse=True)
         spelt = {int(c): [self.bytes_at[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in distinct}
-        return np.array([logp[spelt[int(c)]].sum() for c in distinct])[where].reshape(codes.shape), spelt
+        return np.array([logp[spelt[int(c)]].sum(0) for c in distinct]).reshape(len(distinct), -1)[where.ravel()], spelt
 
     def run(self, words: list[str], counts: np.ndarray | None = None, others: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each word; with ``counts``, also how often each piece is expected in them.
@@ -103,7 +139,8 @@ class Lattice:
         ``counts`` is words x kinds, and so are the expected numbers pieces x kinds. With ``others``, more
         log-probabilities of the pieces, there is a row of results for each, after the lattice's own.
         """
-        out = np.zeros((1 + len(others), len(words)))
+        models = np.stack([self.logp, *others], 1)
+        out = np.zeros((models.shape[1], len(words)))
         expected = np.zeros((len(self.pieces), counts.shape[1])) if counts is not None else None
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         by_size = np.argsort(sizes, kind="stable")
@@ -115,49 +152,55 @@ class Lattice:
                 rows = by_size[i : min(b, i + step)]
                 text = "".join(MARK + words[r] for r in rows)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), size)
-                out[:, rows] = self._group(codes, counts[rows] if counts is not None else None, expected, others)
+                out[:, rows] = self._group(codes, models, counts[rows] if counts is not None else None, expected)
         return (out if len(others) else out[0]), expected
 
-    def _group(self, codes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None, others: list[np.ndarray]) -> np.ndarray:
+    def _group(self, codes: np.ndarray, models: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+        """Log-probabilities (models x words) of words of one size; ``expected`` grows by what ``counts`` words show."""
         n, size = codes.shape
-        with np.errstate(over="ignore"):
-            prefix = np.zeros((n, size + 1), np.uint64)
-            for j in range(size):
-                prefix[:, j + 1] = prefix[:, j] * BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
-            piece = {k: self._find(prefix[:, k:] - prefix[:, :-k] * self.powers[k] + np.uint64(k)) for k in range(1, min(self.longest, size) + 1)}
-        live = [k for k, p in piece.items() if k == 1 or (p >= 0).any()]
-        ends = []
-        for logp in [*others[::-1], self.logp]:  # its own last: the backward pass goes on with it
-            spelt, spelling = self._spelt(codes, logp)
-            weight = {k: np.where(piece[k] >= 0, logp[piece[k]], spelt if k == 1 else -np.inf) for k in live}
-            forward = np.zeros((size + 1, n))
-            for j in range(1, size + 1):
-                forward[j] = _add_logs([forward[j - k] + weight[k][:, j - k] for k in live if k <= j])
-            ends.append(forward[size])
+        edges = self._edges(codes)
+        row, place, piece = edges[0]
+        single = np.full((size, n), -1)
+        single[place, row] = piece
+        weight = models[single]  # by place, word and model
+        unknown = np.nonzero(single < 0)
+        spelling: dict[int, list[int]] = {}
+        if len(unknown[0]):
+            weight[unknown], spelling = self._spelt(codes[unknown[1], unknown[0]], models)
+        longer = [(k, row, place, piece, models[piece], np.searchsorted(place, np.arange(size + 1))) for k, (row, place, piece) in enumerate(edges[1:], 2) if len(row)]
+        forward = np.zeros((size + 1, n, models.shape[1]))
+        for j in range(1, size + 1):
+            now = forward[j - 1] + weight[j - 1]
+            for k, row, _, _, w, starts in longer:
+                if j >= k:
+                    a, b = starts[j - k], starts[j - k + 1]
+                    own = row[a:b]
+                    now[own] = _add_logs(now[own], forward[j - k][own] + w[a:b])
+            forward[j] = now
         if counts is None:
-            return np.stack(ends[::-1])
+            return forward[size].T
+        front = forward[:, :, 0]
         backward = np.zeros((size + 1, n))
         for j in range(size - 1, -1, -1):
-            backward[j] = _add_logs([backward[j + k] + weight[k][:, j] for k in live if j + k <= size])
-        for k in live:
-            share = np.exp(forward[: size - k + 1].T + weight[k] + backward[k:].T - forward[size][:, None])
-            known = piece[k] >= 0
-            row = np.nonzero(known)[0]
+            now = backward[j + 1] + weight[j, :, 0]
+            for k, row, _, _, w, starts in longer:
+                if j + k <= size:
+                    a, b = starts[j], starts[j + 1]
+                    own = row[a:b]
+                    now[own] = _add_logs(now[own], backward[j + k][own] + w[a:b, 0])
+            backward[j] = now
+        whole = front[size]
+        for k, row, place, piece, w, _ in [(1, *edges[0], models[edges[0][2]], None), *longer]:
+            share = np.exp(front[place, row] + w[:, 0] + backward[place + k, row] - whole[row])
             for kind in range(counts.shape[1]):
-                expected[:, kind] += np.bincount(piece[k][known], share[known] * counts[row, kind], minlength=len(expected))
-            if k == 1 and not known.all():
-                for i, c, s in zip(np.nonzero(~known)[0], codes[~known].tolist(), share[~known].tolist(), strict=True):
-                    for b in spelling[c]:
-                        expected[b] += s * counts[i]
-        return forward[size]
-
-
-def _add_logs(parts: list[np.ndarray]) -> np.ndarray:
-    if len(parts) == 1:
-        return parts[0]
-    parts = np.stack(parts)
-    top = parts.max(0)
-    return top + np.log(np.exp(parts - top).sum(0))
+                expected[:, kind] += np.bincount(piece, share * counts[row, kind], minlength=len(expected))
+        if spelling:
+            place, row = unknown
+            share = np.exp(front[place, row] + weight[place, row, 0] + backward[place + 1, row] - whole[row])
+            for i, c, s in zip(row.tolist(), codes[row, place].tolist(), share.tolist(), strict=True):
+                for b in spelling[c]:
+                    expected[b] += s * counts[i]
+        return whole[None]
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -166,7 +209,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     flat = pc.list_flatten(words).dictionary_encode()
     at = words.offsets.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    codes, distinct = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    codes, distinct = flat.indices.to_numpy(), strings(flat.dictionary)
     if "" in distinct:
         real = codes != distinct.index("")
         row, codes = row[real], codes[real]
@@ -215,7 +258,7 @@ def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, columns: list[str] = columns) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces, now), np.zeros((len(pieces), len(columns)))
             for batch in batches:
-                total += lattice.run(batch.column("word").to_pylist(), np.stack([batch.column(c).to_numpy() > 0 for c in columns], 1).astype(float))[1]
+                total += lattice.run(strings(batch.column("word")), np.stack([batch.column(c).to_numpy() > 0 for c in columns], 1).astype(float))[1]
             some = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(len(columns)))], ["piece", *columns])
 
@@ -231,11 +274,17 @@ def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
 def lattice_scores(documents: DataFrame, train: str = "train", class_col: str | None = None, model_file: str | None = None, rounds: int = 2, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of doc_id, text and ``train``."""
     learn = F.coalesce(train, F.lit(False))
-    classes = [r[0] for r in documents.filter(learn & F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(MAX_CLASSES).collect()] if class_col else []
-    own = F.coalesce(*[F.when(F.col(class_col) == x, k) for k, x in enumerate(classes)]) if classes else F.lit(0)
+    own = F.lit(0)
+    n_classes = 1
+    if class_col:
+        sizes = documents.filter(learn).groupBy(F.col(class_col).alias("class")).count()
+        largest = sizes.filter(F.col("class").isNotNull()).orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
+        others = (sizes.agg(F.sum("count")).first()[0] or 0) > sum(r["count"] for r in largest)
+        n_classes = max(1, len(largest) + others)
+        own = F.coalesce(*[F.when(F.col(class_col) == r["class"], k) for k, r in enumerate(largest)], F.lit(n_classes - 1))
     docs = texts_for_python(documents, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("train"), own.cast("int").alias("class"))
     pieces, logp = vocabulary(model_file or default_vocabulary())
-    by_class = [f"c{k}" for k in range(max(1, len(classes)))]
+    by_class = [f"c{k}" for k in range(n_classes)]
     counts = materialize(word_counts(docs, len(by_class)), "word-counts")
     columns = ["c", *by_class]
     total = counts.agg(F.count_if(F.col("c") > 0).alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"sum_{c}") for c in columns), *(F.count_if(F.col(c) == 1).alias(f"once_{c}") for c in columns), *(F.coalesce(F.sum(F.when(F.col("word") == END, F.col(c))), F.lit(0)).alias(f"texts_{c}") for c in columns)).first()
@@ -249,7 +298,7 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logp)
         for batch in batches:
-            words, seen = batch.column("word").to_pylist(), [batch.column(c).to_numpy() for c in columns]
+            words, seen = strings(batch.column("word")), [batch.column(c).to_numpy() for c in columns]
             q = lattice.run([w if w != END else "" for w in words], others=own_logp)[0]
             for row, weights in zip(q, [logp, *own_logp], strict=True):
                 row[[i for i, w in enumerate(words) if w == END]] = weights[-1]
@@ -278,7 +327,7 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_known, known = table.value
-        index = {w: i for i, w in enumerate(names_known.to_pylist())}
+        index = {w: i for i, w in enumerate(strings(names_known))}
         known = np.vstack([known, np.zeros((1, len(values)))])
         nowhere = len(known) - 1
         end = known[index.get(END, nowhere)]
