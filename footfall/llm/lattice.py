@@ -36,6 +36,8 @@ MARK, END = "▁", " "  # a blank is in no word
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)  # odd numbers: a rolling hash, and one that spreads it over all bits
 #: Frequent words that are scored in place; characters of the words that are worked on at once.
 HOT_WORDS, AT_ONCE = 100_000, 1 << 18
+#: Words that a task takes together.
+WORDS_AT_ONCE = 1 << 16
 #: Classes at most that stand by themselves: the largest; training texts of all others, and of none, are one class more.
 MAX_CLASSES = 8
 FILTER_BITS = 21
@@ -203,6 +205,18 @@ class Lattice:
         return whole[None]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``: batches of texts are small, words can be taken together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Text of each word, the distinct words, and which of them each word is; A-Z in lower case."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -257,7 +271,7 @@ def estimate(counts: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
 
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, columns: list[str] = columns) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces, now), np.zeros((len(pieces), len(columns)))
-            for batch in batches:
+            for batch in _gathered(batches):
                 total += lattice.run(strings(batch.column("word")), np.stack([batch.column(c).to_numpy() > 0 for c in columns], 1).astype(float))[1]
             some = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(len(columns)))], ["piece", *columns])
@@ -297,7 +311,7 @@ def lattice_scores(documents: DataFrame, train: str = "train", class_col: str |
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logp)
-        for batch in batches:
+        for batch in _gathered(batches):
             words, seen = strings(batch.column("word")), [batch.column(c).to_numpy() for c in columns]
             q = lattice.run([w if w != END else "" for w in words], others=own_logp)[0]
             for row, weights in zip(q, [logp, *own_logp], strict=True):
