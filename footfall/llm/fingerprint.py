@@ -1,76 +1,155 @@
-"""Document fingerprints as Merkle trees over sections and paragraphs.
+"""Document fingerprints as Merkle trees over sections, paragraphs and cuts.
 
-A paragraph is a line. A section ends after each paragraph whose digest starts with
-0 to 3 (content decides, so an edit moves no distant boundary) and at the text's end.
-A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs'
-digests, the root's that of the sections' digests. Equal roots mean equal texts; where
-roots differ, the sections and paragraphs that differ show where the edit lies.
+A paragraph is a line. It is cut after any white space that follows n, t, r or a mark of
+punctuation: the cuts are the tree's leaves. A section ends after each paragraph whose digest starts
+with 0 to 3 and at the text's end. Content decides all of these, so an edit moves no distant boundary.
+A leaf is the MD5 of its text, a paragraph's node the SHA-256 of its leaves, a section's that of its
+paragraphs' nodes, the root's that of the sections' nodes. Equal roots mean equal texts.
 
-Likeness is measured on the branches below the paragraphs: each paragraph is cut after
-any white space that follows n, t, r or a mark of punctuation (again content decides),
-and the likeness of two documents is the Dice coefficient of their sets of cuts' digests;
-a text without words has none, and two such texts are alike (1) if equal, else not (0).
+Two trees are compared from the root down, and only what differs is opened: nodes that both have are
+set aside, each as often as both have it, first sections, then the paragraphs of the others, then the leaves of the
+paragraphs left. A leaf counts with the one before it in its paragraph, so its place matters; an empty leaf counts
+nothing. The likeness of two texts is the Dice coefficient of leaves and root: equal texts have 1, others less.
+``locate_edits`` descends in the same way to the run of paragraphs outside which both texts agree.
 
 A null text is the empty one. Extra columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SECTION_END = "[0-3]"
+#: A paragraph whose node is below this ends its section.
+SECTION_END = "4"
 CUT = r"([ntr.,;:!?|)][ \t\r\f\x0B]+)"
 MARK = "\u0001"
+#: Between leaves, between a paragraph's node and its leaves, after a paragraph, after a section.
+LEAF, HAS, PARAGRAPH, SECTION = " ", "=", "/", "|"
+NODE = 64
+EMPTY_LEAF = hashlib.md5(b"").hexdigest()
+
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` reads it in a loop."""
+    return F.transform(F.array(value), use)[0]
 
-def paragraphs(text: Column) -> Column:
-    """Digests of the lines, in order."""
-    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
 
+def tree(text: Column) -> Column:
+    """The tree of a text as the array of its sections: each is its paragraphs, nodes and leaves written in order."""
+    marked = F.regexp_replace(text, CUT, f"$1{MARK}")
+    lines = F.transform(F.split(marked, "\n"), lambda p: F.array_join(F.transform(F.split(p, MARK), lambda x: F.md5(x)), LEAF))
+    nodes = F.transform(lines, lambda p: F.struct(F.sha2(p, 256).alias("node"), p.alias("leaves")))
+    whole = F.array_join(F.transform(nodes, lambda p: F.concat(p["node"], F.lit(HAS), p["leaves"], F.when(p["node"] < SECTION_END, SECTION).otherwise(PARAGRAPH))), "")
+    return F.split(F.regexp_replace(whole, r"[/|]\z", ""), r"\|")
 
-def sections(paragraph_digests: Column) -> Column:
-    """Digests of the sections, in order; section boundaries are decided by the paragraphs' digests."""
-    joined = F.array_join(paragraph_digests, " ")
-    marked = F.regexp_replace(joined, rf"(\b{SECTION_END}[0-9a-f]+) ", f"$1{MARK}")
-    return F.transform(F.split(marked, MARK), lambda s: F.sha2(s, 256))
 
+def _paragraphs(section: Column) -> Column:
+    return F.split(section, PARAGRAPH)
 
-def root(section_digests: Column) -> Column:
-    return F.sha2(F.array_join(section_digests, ""), 256)
 
+def section_nodes(sections: Column) -> Column:
+    """Digests of the sections, in order."""
+    return F.transform(sections, lambda s: F.sha2(F.array_join(F.transform(_paragraphs(s), lambda p: F.substring(p, 1, NODE)), LEAF), 256))
 
-def branches(text: Column) -> Column:
-    """The set of digests of the pieces below the paragraphs."""
-    marked = F.regexp_replace(text, CUT, f"$1{MARK}")
-    pieces = F.filter(F.split(F.translate(marked, "\n", MARK), MARK), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(F.trim(x))))
 
+def root(sections: Column) -> Column:
+    return F.sha2(F.array_join(section_nodes(sections), ""), 256)
+
+
+def _numbered(nodes: Column) -> Column:
+    """A multiset as a set: equal strings get numbers, so that each is one of a kind. Order is lost where there are equal ones."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+
+        def number(starts: Column) -> Column:
+            size = lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(s)) - at
+            return F.flatten(F.transform(starts, lambda at, k: F.transform(F.slice(s, at + 1, size(at, k)), lambda x, n: F.concat(x, F.lit("#"), n.cast("string")))))
+
+        return _let(first, number)
+
+    return F.when(F.size(F.array_distinct(nodes)) == F.size(nodes), F.transform(nodes, lambda x: F.concat(x, F.lit("#0")))).otherwise(_let(F.sort_array(nodes), runs))
+
+
+def _plain(nodes: Column) -> Column:
+    return F.transform(nodes, lambda x: F.substring_index(x, "#", 1))
+
+
+def _leaves(paragraphs: Column) -> Column:
+    """Every leaf of the paragraphs behind the one before it; those that are empty are left out."""
+
+    def pairs(leaves: Column) -> Column:
+        return F.transform(F.filter(F.transform(leaves, lambda x, i: F.struct(x.alias("own"), F.when(i > 0, F.get(leaves, i - 1)).otherwise("").alias("last"))), lambda x: x["own"] != EMPTY_LEAF), lambda x: F.concat(x["last"], x["own"]))
+
+    return F.flatten(F.transform(paragraphs, lambda p: _let(F.split(F.substring(p, NODE + 2, 1 << 30), LEAF), pairs)))
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """Dice coefficient of two sets of digests, between 0 and 1."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, equal.cast("double")).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+
+def n_leaves(sections: Column) -> Column:
+    """How many leaves that aren't empty a tree has."""
+    joined = F.array_join(sections, PARAGRAPH)
+    return F.size(F.filter(F.split(joined, f"[{LEAF}{HAS}{PARAGRAPH}]"), lambda x: (F.length(x) < NODE) & (x != EMPTY_LEAF)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Dice coefficient of two trees' leaves and roots, between 0 and 1, found by opening only what differs."""
+
+    def differing(x: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
+        return _let(F.struct(_numbered(x).alias("x"), _numbered(y).alias("y")), lambda v: _let(F.struct(F.array_except(v["x"], v["y"]).alias("x"), F.array_except(v["y"], v["x"]).alias("y")), lambda d: use(d["x"], d["y"])))
+
+    def paragraphs(x: Column) -> Column:
+        return F.flatten(F.transform(_plain(x), _paragraphs))
+
+    def opened(x: Column, y: Column) -> Column:
+        return differing(paragraphs(x), paragraphs(y), lambda p, q: differing(_leaves(_plain(p)), _leaves(_plain(q)), lambda k, m: F.size(k) + F.size(m)))
+
+    own, other = n_leaves(a), n_leaves(b)
+    apart = differing(a, b, opened)  # leaves that only one of the two has
+    return F.when(a == b, 1.0).otherwise((own + other - apart) / (own + other + 2))
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraphs, sections, fingerprint: the whole tree of each document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = documents.select(F.col(id_col).alias("doc_id"), paragraphs(text).alias("paragraphs"))
-    return lines.withColumn("sections", sections(F.col("paragraphs"))).withColumn("fingerprint", root(F.col("sections")))
+    """doc_id, tree, sections and fingerprint (the root) of each document."""
+    trees = documents.select(F.col(id_col).alias("doc_id"), tree(F.coalesce(F.col(text_col), F.lit(""))).alias("tree"))
+    return trees.select("doc_id", "tree", section_nodes(F.col("tree")).alias("sections"), root(F.col("tree")).alias("fingerprint"))
+
+
+def _agreeing(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays agree."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+
+def _middle(a: Column, b: Column) -> Column:
+    """first, and the parts of both arrays without what agrees at their starts and at their ends."""
+
+    def ends(first: Column) -> Column:
+        x, y = F.slice(a, first + 1, F.size(a)), F.slice(b, first + 1, F.size(b))
+        return _let(_agreeing(F.reverse(x), F.reverse(y)), lambda last: F.struct(first.alias("first"), F.slice(x, F.lit(1), F.size(x) - last).alias("a"), F.slice(y, F.lit(1), F.size(y) - last).alias("b")))
+
+    return _let(_agreeing(a, b), ends)
 
 
 def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
-    """doc_id and the numbers (from 0) of the paragraphs in ``after`` whose digests ``before`` does not have.
+    """doc_id, first, removed, added: from paragraph ``first`` on (from 0), ``removed`` paragraphs gave way to ``added``.
 
-    Both are what ``fingerprints`` returns; documents with equal roots are left out without looking further.
+    Outside that run both texts agree; it is a shortest such run. A paragraph that moved is in it. Both tables are
+    what ``fingerprints`` returns; documents with equal roots are left out without looking further, and
+    of the others only the sections between those that agree are opened.
     """
-    old = before.select("doc_id", F.col("fingerprint").alias("__root"), F.col("paragraphs").alias("__old"))
+    old = before.select("doc_id", F.col("fingerprint").alias("__root"), F.col("tree").alias("__old"))
     changed = after.join(old, "doc_id").filter(F.col("fingerprint") != F.col("__root"))
-    numbered = F.transform("paragraphs", lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    kept = F.array_except("paragraphs", "__old")
-    return changed.select("doc_id", F.transform(F.filter(numbered, lambda x: F.array_contains(kept, x["p"])), lambda x: x["i"]).alias("changed"))
+    sections = changed.select("doc_id", "__old", _middle(F.col("__old"), F.col("tree")).alias("open"))
+    opened = sections.select(
+        "doc_id",
+        F.size(F.flatten(F.transform(F.slice("__old", F.lit(1), F.col("open.first")), _paragraphs))).alias("earlier"),
+        _middle(F.flatten(F.transform("open.a", _paragraphs)), F.flatten(F.transform("open.b", _paragraphs))).alias("run"),
+    )
+    return opened.select("doc_id", (F.col("earlier") + F.col("run.first")).alias("first"), F.size("run.a").alias("removed"), F.size("run.b").alias("added"))
 
 
 def id_ranges(ids: Column, cuts: list[int], parts: int) -> Column:
@@ -88,6 +167,10 @@ def id_ranges(ids: Column, cuts: list[int], parts: int) -> Column:
     return F.coalesce(place, F.lit(-1))
 
 
+#: Ranges whose order is found together: what one task gets is the number of all ranges over this, or this.
+RANGES_TOGETHER = 4096
+
+
 def with_next(documents: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1024, max_cuts: int = 1024) -> DataFrame:
     """doc_id, text and next_text: the text of the following document by id, the first's for the last.
 
@@ -100,10 +183,12 @@ def with_next(documents: DataFrame, id_col: str, text_col: str, rows_per_range:
     rows = docs.select("doc_id").count()
     n_cuts = max(1, min(max_cuts, rows // rows_per_range))
     cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n_cuts for i in range(n_cuts)], 0.25 / n_cuts)}) or [0]
-    ranged = docs.withColumn("range", id_ranges(F.col("doc_id"), cuts, max(1, rows // (rows_per_range * max_cuts))))
+    ranged = docs.withColumn("range", id_ranges(F.col("doc_id"), cuts, max(1, rows // (rows_per_range * max_cuts)))).repartition("range")
     inside = ranged.withColumn("__next", F.lead("text").over(Window.partitionBy("range").orderBy("doc_id", "text")))
-    in_order = Window.orderBy("range")
-    heads = ranged.groupBy("range").agg(F.min("doc_id").alias("__id"))  # a row for each range
-    heads = heads.withColumn("before", F.coalesce(F.lag("range").over(in_order), F.max("range").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    heads = ranged.groupBy("range").agg(F.min("doc_id").alias("__id")).withColumn("__many", F.floor(F.col("range") / RANGES_TOGETHER))  # a row for each range
+    many = heads.groupBy("__many").agg(F.max("range").alias("__last"))  # a row for each ``RANGES_TOGETHER`` ranges
+    in_order = Window.orderBy("__many")
+    many = many.select("__many", F.coalesce(F.lag("__last").over(in_order), F.max("__last").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__far"))
+    heads = heads.withColumn("__near", F.lag("range").over(Window.partitionBy("__many").orderBy("range"))).join(many, "__many").select("range", "__id", F.coalesce("__near", "__far").alias("before"))
     firsts = ranged.join(heads, "range").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("before").agg(F.min("text").alias("__first"))
     return inside.join(firsts, F.col("range") == F.col("before")).select("doc_id", "text", F.coalesce("__next", "__first").alias("next_text"))

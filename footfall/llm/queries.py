@@ -25,18 +25,24 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - quarter), F.substr(F.col("next_text"), F.lit(1), quarter))
     docs = docs.withColumn("edited", edited)
-    for name in ("text", "edited", "next_text"):
-        docs = docs.withColumn(f"{name}_branches", fingerprint.branches(F.col(name)))
-    docs = docs.select(
+    trees = docs.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint.sections(fingerprint.paragraphs(F.col("text"))).alias("own_sections"),
-        fingerprint.sections(fingerprint.paragraphs(F.col("edited"))).alias("edited_sections"),
-        fingerprint.likeness(F.col("text_branches"), F.col("edited_branches"), F.col("text") == F.col("edited")).alias("near_edited"),
-        fingerprint.likeness(F.col("text_branches"), F.col("next_text_branches"), F.col("text") == F.col("next_text")).alias("near_next"),
+        fingerprint.tree(F.col("text")).alias("own"),
+        fingerprint.tree(F.col("edited")).alias("after"),
+        fingerprint.tree(F.col("next_text")).alias("following"),
+    )
+    own = F.col("own")
+    return trees.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.root(own).alias("fingerprint"),
+        fingerprint.root(F.col("after")).alias("edited_fingerprint"),
+        fingerprint.likeness(own, F.col("after")).alias("near_edited"),
+        fingerprint.likeness(own, F.col("following")).alias("near_next"),
     )
-    return docs.select("doc_id", "n_chars", "edited_sha256", fingerprint.root(F.col("own_sections")).alias("fingerprint"), fingerprint.root(F.col("edited_sections")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,19 +112,34 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
 
 
-_BRANCHES = "list_distinct(list_filter(list_transform(string_split(translate(regexp_replace({0}, '([ntr.,;:!?|)][ \\t\\r\\f\\x0B]+)', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))"
-_SECTIONS = "list_transform(string_split(regexp_replace(array_to_string(list_transform(string_split({0}, chr(10)), lambda p: sha256(p)), ' '), '(\\b[0-3][0-9a-f]+) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: sha256(s))"
-_LIKENESS = "CASE WHEN len({0}) + len({1}) = 0 THEN CAST({2} AS INT)::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
+_LEAVES = r"list_transform(string_split({0}, chr(10)), lambda p: list_transform(string_split(regexp_replace(p, '([ntr.,;:!?|)][ \t\r\f\x0B]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: md5(x)))"
+_NODES = "list_transform({0}, lambda p: sha256(array_to_string(p, ' ')))"
+_SECTIONS = "list_transform(string_split(regexp_replace(array_to_string({0}, ' '), '(\\b[0-3][0-9a-f]+) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: sha256(s))"
+_PAIRS = "flatten(list_transform({0}, lambda p: list_filter(list_transform(p, lambda x, i: CASE WHEN x = md5('') THEN NULL WHEN i > 1 THEN p[i - 1] || x ELSE x END), lambda x: x IS NOT NULL)))"
+_ROOT = f"sha256(array_to_string({_SECTIONS.format(_NODES)}, ''))"
+
+
+def _likeness_sql(other: str, to: str) -> str:
+    """The leaves that both trees have, each as often as both have it, and whether the roots are equal."""
+    return f"""{to} AS (
+  SELECT n.row, (2 * coalesce(s.shared, 0) + 2 * CAST(n.text = n.{other} AS INT))::DOUBLE / (len(n.p0) + len(n.{other}_p) + 2) AS likeness
+  FROM p AS n LEFT JOIN (
+    SELECT a.row, sum(least(a.n, b.n)) AS shared
+    FROM (SELECT row, x, count(*) AS n FROM (SELECT row, unnest(p0) AS x FROM p) GROUP BY ALL) AS a
+    JOIN (SELECT row, x, count(*) AS n FROM (SELECT row, unnest({other}_p) AS x FROM p) GROUP BY ALL) AS b ON a.row = b.row AND a.x = b.x
+    GROUP BY a.row) AS s ON s.row = n.row)"""
+
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM d),
+n AS (SELECT row_number() OVER () AS row, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text FROM d),
 e AS (SELECT *, length(text) AS n_chars, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM n),
-b AS (SELECT *, {_BRANCHES.format('text')} AS b0, {_BRANCHES.format('edited')} AS b1, {_BRANCHES.format('next_text')} AS b2 FROM e)
-SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
-  sha256(array_to_string({_SECTIONS.format('text')}, '')) AS fingerprint, sha256(array_to_string({_SECTIONS.format('edited')}, '')) AS edited_fingerprint,
-  {_LIKENESS.format('b0', 'b1', '(text = edited)')} AS near_edited, {_LIKENESS.format('b0', 'b2', '(text = next_text)')} AS near_next
-FROM b"""
+l AS (SELECT *, {_LEAVES.format('text')} AS l0, {_LEAVES.format('edited')} AS l1, {_LEAVES.format('next_text')} AS l2 FROM e),
+p AS (SELECT *, {_PAIRS.format('l0')} AS p0, {_PAIRS.format('l1')} AS edited_p, {_PAIRS.format('l2')} AS next_text_p FROM l),
+{_likeness_sql('edited', 'near')}, {_likeness_sql('next_text', 'far')}
+SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format('l0')} AS fingerprint, {_ROOT.format('l1')} AS edited_fingerprint,
+  near.likeness AS near_edited, far.likeness AS near_next
+FROM p JOIN near USING (row) JOIN far USING (row)"""
 
 _ESCAPE = "replace(replace(replace(replace({0}, '<&', '<&&'), '<s>', '<&s>'), '</s>', '<&/s>'), '<t>', '<&t>')"
 

@@ -34,6 +34,14 @@ def test_next_document_by_id(spark):
     assert fingerprint.with_next(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_next_document_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGES_TOGETHER", 3)
+    ids = [k * k for k in range(40)]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(7)
+    got = dict(tuple(r) for r in fingerprint.with_next(docs, "doc_id", "text", rows_per_range=2, max_cuts=8).select("text", "next_text").collect())
+    assert got == {str(a): str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
 def test_fingerprints_say_equality_and_place(spark):
     docs = documents(spark, TEXTS)
     prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
@@ -43,7 +51,63 @@ def test_fingerprints_say_equality_and_place(spark):
     before = documents(spark, ["a\nb\nc\nd", "same"])
     after = documents(spark, ["a\nb2\nc\nd", "same"])
     got = fingerprint.locate_edits(fingerprint.fingerprints(before), fingerprint.fingerprints(after)).collect()
-    assert [(r["doc_id"], r["changed"]) for r in got] == [(0, [1])]
+    assert [tuple(r) for r in got] == [(0, 1, 1, 1)]
+
+
+def brute_tree(text):
+    """Leaves by paragraph, and the root."""
+    lines = [[hashlib.md5(x.encode()).hexdigest() for x in re.sub("([ntr.,;:!?|)][ \t\r\f\v]+)", "\\1\1", line).split("\1")] for line in text.split("\n")]
+    sections, own = [], []
+    for leaves in lines:
+        own.append(hashlib.sha256(" ".join(leaves).encode()).hexdigest())
+        if own[-1] < "4":
+            sections, own = [*sections, own], []
+    sections += [own] if own else []
+    nodes = [hashlib.sha256(" ".join(x).encode()).hexdigest() for x in sections]
+    return lines, hashlib.sha256("".join(nodes).encode()).hexdigest()
+
+
+def brute_likeness(a, b):
+    (x, root_x), (y, root_y) = brute_tree(a), brute_tree(b)
+    nothing = hashlib.md5(b"").hexdigest()
+    x, y = (Counter((p[i - 1] if i else "", leaf) for p in t for i, leaf in enumerate(p) if leaf != nothing) for t in (x, y))
+    return (2 * sum((x & y).values()) + 2 * (root_x == root_y)) / (sum(x.values()) + sum(y.values()) + 2)
+
+
+def variants():
+    rng = random.Random(5)
+    say = ["that is, then, a word.", "an order; not in time", "", "other sun! or", "not in time in time in time", "\x01 odd in\x01 fact", "a | b"]
+    for n in (1, 2, 9, 60):
+        lines = [rng.choice(say) + f" of {rng.randrange(4)}" * rng.randrange(2) for _ in range(n)]
+        k = rng.randrange(n)
+        yield lines, lines
+        yield lines, lines[:k] + lines[k + 1 :]
+        yield lines, lines[::-1]
+        yield lines, [*lines[:k], "put in, new", *lines[k:]]
+        yield lines, lines + lines
+        yield lines, [x if i != k else x + " and more" for i, x in enumerate(lines)]
+        yield [*lines, *lines[:k]], [*lines[k:], *lines]
+
+
+def test_likeness_and_edits_equal_brute_force(spark):
+    pairs = [("\n".join(a), "\n".join(b)) for a, b in variants()]
+    pairs += [("", ""), ("", " \t"), (" ", "a b"), ("x, y", "x, x, y"), ("w in " * 4000, "w in " * 3999), ("n n n n", "n n n")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "doc_id long, a string, b string")
+    trees = df.select("doc_id", fingerprint.tree(F.col("a")).alias("a"), fingerprint.tree(F.col("b")).alias("b"))
+    got = {r["doc_id"]: r for r in trees.select("doc_id", fingerprint.root(F.col("a")).alias("root"), fingerprint.likeness(F.col("a"), F.col("b")).alias("like"), fingerprint.likeness(F.col("b"), F.col("a")).alias("back")).collect()}
+    before, after = (fingerprint.fingerprints(df, text_col=c) for c in "ab")
+    edits = {r["doc_id"]: tuple(r)[1:] for r in fingerprint.locate_edits(before, after).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i]["root"] == brute_tree(a)[1]
+        assert got[i]["like"] == pytest.approx(brute_likeness(a, b), abs=1e-12) and got[i]["back"] == pytest.approx(got[i]["like"], abs=1e-12)
+        assert (got[i]["like"] == 1) == (a == b) == (i not in edits)
+        if a != b:
+            x, y = a.split("\n"), b.split("\n")
+            first = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            last = next((k for k in range(min(len(x), len(y)) - first) if x[-1 - k] != y[-1 - k]), min(len(x), len(y)) - first)
+            at, removed, added = edits[i]
+            assert (removed, added) == (len(x) - first - last, len(y) - first - last) and at <= first
+            assert x[:at] == y[:at] and x[at + removed :] == y[at + added :]
 
 
 def test_sections_of_a_tree_are_local(spark):
