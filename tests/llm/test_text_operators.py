@@ -191,13 +191,13 @@ def words_of(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def brute_overlaps(docs, items):
+def brute_overlaps(docs, items, least=1):
     found = set()
     for i, t in docs:
         w = words_of(t)
         for j, s in items:
             b = words_of(s)
-            if len(b) < 5:
+            if len(b) < least:
                 continue
             size = min(len(b), 20)
             need = size if size < 10 else math.ceil(0.8 * size)
@@ -212,7 +212,7 @@ def brute_overlaps(docs, items):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [(j, " ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 8, 10, 13, 15, 20, 30, 45])))) for j in range(30)]
+    items = [(j, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 13, 15, 20, 30, 45])))) for j in range(30)]
     items += [(30, items[8][1]), (31, None), (32, "")]
     docs = []
     for i in range(150):
@@ -233,11 +233,12 @@ def test_decontamination_equals_brute_force(spark):
         got = decontam.overlaps(df, bench, block_keys=block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     left = {r["doc_id"] for r in decontam.decontaminate(df, bench).collect()}
-    assert left == {i for i, _ in docs} - {i for i, _ in want} and 150 in left
+    assert left == {i for i, _ in docs} - {i for i, _ in brute_overlaps(docs, items, 5)} and 150 in left
     assert decontam.overlaps(df.limit(0), bench).count() == 0 and decontam.overlaps(df, bench.limit(0)).count() == 0
 
 
 def test_masks_find_every_window():
+    assert all("0" in m for m in decontam.MASKS) and [len(m) for m in decontam.SHORT_MASKS] == list(range(1, len(decontam.MASKS[0])))
     from itertools import combinations
 
     for size, wrong in ((10, 2), (15, 3), (20, 4)):
