@@ -156,19 +156,11 @@ c AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c"""
 
 
-def _least_sql(node: str, weights: str) -> str:
-    """Index of the least draw among the children whose weights are listed; ``node`` is the path to them."""
-    u = f"(('0x' || substr(md5(k || {node} || i), 1, 13))::BIGINT::DOUBLE + 1.0) / {float(2**52 + 1)}::DOUBLE"
-    return f"list_sort(list_transform(list_filter(range(0, len({weights})), lambda i: {weights}[i + 1] > 0), lambda i: {{'d': -ln({u}) / {weights}[i + 1], 'i': i}}))[1].i"
-
-
-def _shard_sql(n_shards: int, source: str, to: str) -> str:
-    regions = sharding.tree(n_shards)
-    racks = [[len(r[k]) if k < len(r) else 0 for k in range(2)] for r in regions]
-    region = _least_sql("'/g'", str([float(sum(x)) for x in racks]))
-    rack = _least_sql("'/g' || g || '/r'", f"({[[float(y) for y in x] for x in racks]})[g + 1]")
-    shard = _least_sql("'/g' || g || '/r' || r || '/s'", f"list_transform(range(0, {racks}[g + 1][r + 1]), lambda x: 1.0::DOUBLE)")
-    return f"(SELECT * EXCLUDE (g, r), ((g * 2 + r) * 5 + {shard})::INT AS {to} FROM (SELECT *, {rack} AS r FROM (SELECT *, {region} AS g FROM {source})))"
+def _shard_sql(n_shards: int) -> str:
+    """The shard of the least draw: five shards in a rack, two racks in a region, six hexadecimal digits for each draw."""
+    digest = "md5(k || '/g' || (s // 10) || '/r' || (s // 5 % 2) || '/0')"
+    u = f"(('0x' || substr({digest}, 6 * (s % 5) + 1, 6))::BIGINT + 1.0::DOUBLE) / {float(16**6 + 1)}::DOUBLE"
+    return f"list_sort(list_transform(range(0, {n_shards}), lambda s: {{'d': -ln({u}), 's': s}}))[1].s::INT"
 
 
 OP10_SQL = f"""
@@ -178,7 +170,7 @@ s AS (
   SELECT row, doc_id, k, (octet_length(encode(text)) + 16)::BIGINT AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32
   FROM d, bits),
-p AS (SELECT * FROM {_shard_sql(41, _shard_sql(40, 's', 'shard'), 'grown_shard')})
+p AS (SELECT *, {_shard_sql(40)} AS shard, {_shard_sql(41)} AS grown_shard FROM s)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 6))::BIGINT % 64, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM p"""
 
 

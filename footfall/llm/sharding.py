@@ -1,11 +1,10 @@
 """Hierarchical weighted hash tree: documents to shards by descent through region, rack and shard.
 
-Every node of the tree weighs as many shards as hang below it. At each level a
-document draws an exponential variate for each child, from a hash of its key and
-the child's name, divides it by the child's weight and goes where the result is
-least. A child is therefore drawn in proportion to its weight, and when one weight
-grows, only draws of that child fall: all movement goes into the subtree whose
-weight changed. A shard that opens a region of its own takes rows only into itself.
+A document draws an exponential variate for each shard, from a hash of its key and the shard's
+place in the tree, divided by the shard's weight. A rack's draw is the least of its shards', a region's the
+least of its racks', so each node is drawn in proportion to the weight below it, and the document
+goes down to the least draw at each level. When a weight grows, or a shard is added, only draws of that one
+shard fall: rows move nowhere but into it, whatever the number of shards.
 
 Nulls: a null key hashes as the empty string, a null text has no bytes. Equal keys go to one
 shard. Extra columns of the input are ignored. An empty table gives an empty one.
@@ -29,29 +28,31 @@ def tree(n_shards: int, racks: int = 2, shards_per_rack: int = 5) -> list[list[l
     return [in_racks[i : i + racks] for i in range(0, len(in_racks), racks)]
 
 
-def _least(key: Column, names: list[Column], weights: list[Column]) -> Column:
-    """Index of the child with the least exponential variate over its weight; weight 0: no child."""
-    draws = []
-    for i, (name, weight) in enumerate(zip(names, weights, strict=True)):
-        bits = F.conv(F.substring(F.md5(F.concat(key, name)), 1, 13), 16, 10).cast("double")
-        draws.append(F.when(weight > 0, F.struct((-F.log((bits + 1.0) / F.lit(float(2**52 + 1))) / weight).alias("d"), F.lit(i).alias("i"))))
-    return F.array_min(F.array(*draws))["i"]
+#: Hexadecimal digits of a draw, and draws that one digest gives.
+DIGITS, IN_DIGEST = 6, 5
 
 
-def with_shard(rows: DataFrame, key: Column, to: str, n_shards: int, racks: int = 2, shards_per_rack: int = 5) -> DataFrame:
-    """Add the shard of ``key`` as column ``to``: three draws, one at each level."""
-    if n_shards < 1:
-        raise ValueError("there must be a shard")
+def with_shard(rows: DataFrame, key: Column, to: str, weights: list[float], racks: int = 2, shards_per_rack: int = 5) -> DataFrame:
+    """Add the shard of ``key`` as column ``to``: the least draw of region, rack and shard. ``weights`` are above 0, one for each shard."""
+    if not weights or min(weights) <= 0:
+        raise ValueError("there must be shards, of weights above 0")
     key = F.coalesce(key.cast("string"), F.lit(""))
-    regions = tree(n_shards, racks, shards_per_rack)
-    sizes = [len(r[k]) if k < len(r) else 0 for r in regions for k in range(racks)]
-    region, rack = F.col("__region"), F.col("__rack")
-    rack_sizes = F.array(*[F.lit(float(x)) for x in sizes])
-    rows = rows.withColumn("__region", _least(key, [F.lit(f"/g{g}") for g in range(len(regions))], [F.lit(float(sum(map(len, r)))) for r in regions]))
-    rows = rows.withColumn("__rack", _least(key, [F.concat(F.lit("/g"), region, F.lit(f"/r{k}")) for k in range(racks)], [rack_sizes[region * racks + k] for k in range(racks)]))
-    place = region * racks + rack
-    shard = _least(key, [F.concat(F.lit("/g"), region, F.lit("/r"), rack, F.lit(f"/s{k}")) for k in range(shards_per_rack)], [F.when(rack_sizes[place] > k, 1.0).otherwise(0.0) for k in range(shards_per_rack)])
-    return rows.withColumn(to, (place * shards_per_rack + shard).cast("int")).drop("__region", "__rack")
+
+    def of_rack(rack: Column) -> Column:
+        digests = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(rack["shards"]) - 1) / IN_DIGEST).cast("int")), lambda k: F.substring(F.md5(F.concat(key, rack["name"], k.cast("string"))), 1, DIGITS * IN_DIGEST)), "")
+
+        def draw(shard: Column, at: Column) -> Column:
+            u = (F.conv(F.substr(digests, at * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("double") + 1.0) / float(16**DIGITS + 1)
+            return F.struct((-F.log(u) / shard["weight"]).alias("draw"), shard["shard"].alias("shard"))
+
+        return F.array_min(F.transform(rack["shards"], draw))
+
+    regions = [
+        F.array(*[F.struct(F.lit(f"/g{g}/r{r}/").alias("name"), F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(float(weights[s])).alias("weight")) for s in rack]).alias("shards")) for r, rack in enumerate(region)])
+        for g, region in enumerate(tree(len(weights), racks, shards_per_rack))
+    ]
+    least = F.array_min(F.transform(F.array(*regions), lambda region: F.array_min(F.transform(region, of_rack))))
+    return rows.withColumn(to, least["shard"])
 
 
 def shard_documents(documents: DataFrame, n_shards: int = 40, racks: int = 2, shards_per_rack: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,6 +67,6 @@ def shard_documents(documents: DataFrame, n_shards: int = 40, racks: int = 2, sh
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = with_shard(rows, F.col("doc_id"), "shard", n_shards, racks, shards_per_rack)
-    rows = with_shard(rows, F.col("doc_id"), "grown_shard", n_shards + 1, racks, shards_per_rack)
+    for to, n in (("shard", n_shards), ("grown_shard", n_shards + 1)):
+        rows = with_shard(rows, F.col("doc_id"), to, [1.0] * n, racks, shards_per_rack)
     return dense_rank_in_groups(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")

@@ -165,14 +165,19 @@ def test_shards_move_only_into_the_new_one(spark):
     assert again == {(x["doc_id"], x["shard"]) for x in got}
 
 
-def test_a_grown_weight_moves_keys_into_its_subtree_only(spark):
+def test_rows_move_into_the_grown_shard_only(spark):
     ids = spark.range(4000)
-    for n in (12, 41):
-        both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", n), F.col("id"), "b", n + 1)
-        new = n
-        region = {s for r in sharding.tree(n + 1) if any(new in k for k in r) for k in r for s in k}
+    for n in (1, 5, 12, 39, 41):
+        both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", [1.0] * n), F.col("id"), "b", [1.0] * (n + 1))
         changed = both.filter("a <> b").collect()
-        assert changed and {r["b"] for r in changed} <= region
+        assert {r["b"] for r in changed} == {n} and 0.7 < len(changed) * (n + 1) / 4000 < 1.3
+    was, now = [1.0, 2.0, 1.0, 4.0] * 3, [1.0, 2.0, 1.0, 4.0] * 3
+    now[6] = 3.0
+    both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", was, 3, 2), F.col("id"), "b", now, 3, 2)
+    moved = both.filter("a <> b").collect()
+    assert moved and {r["b"] for r in moved} == {6}
+    sizes = Counter(r["a"] for r in both.collect())
+    assert all(abs(sizes[s] - 4000 * w / 24) < 0.25 * 4000 * w / 24 + 20 for s, w in enumerate(was))
 
 
 def test_shards_with_ties_and_nulls(spark):
