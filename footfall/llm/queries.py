@@ -97,9 +97,8 @@ def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, counted between the ends of documents in flat files of all of them."""
     path = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
-    documents = read_table(spark, sf_dir, "documents")
-    counts.write_flat(documents, path)
-    return counts.token_counts(documents, path).select("doc_id", "n_tokens")
+    counts.write_flat(read_table(spark, sf_dir, "documents"), path)
+    return counts.token_counts(spark, path).select("doc_id", "n_tokens")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

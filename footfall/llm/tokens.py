@@ -154,29 +154,32 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = max(until, at + 1)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = None, id_type: str = "<u4", reserved: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text (no nulls) to doc_id, n_tokens and ids, as ``token_ids`` describes them."""
+    own, width, most = encoder(path), np.dtype(id_type).itemsize, np.iinfo(np.dtype(id_type)).max
+    for batch in batches:
+        texts = batch.column(1)
+        for a, b in chunks(texts):
+            ids, at = own.encode(texts.slice(a, b - a))
+            if end_id is not None:
+                ids = np.insert(ids, at[1:], np.uint32(end_id))
+                at = at + np.arange(len(at))
+            if len(ids) and (int(ids.max()) > most or (reserved is not None and (ids == reserved).any())):
+                raise ValueError("an id is too large for its type, or is reserved")
+            data = np.ascontiguousarray(ids, id_type)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), packed], ["doc_id", "n_tokens", "ids"])
+
+
+def texts_to_encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return texts_for_python(documents, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def token_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "<u4", reserved: int | None = None) -> DataFrame:
     """doc_id, n_tokens and ids: little-endian unsigned 32-bit ids of each whole text, then ``end_id`` if there is one.
 
     A null text is the empty one. Rows stay as they are dealt; extra columns are ignored. With another
     ``id_type`` (of numpy), an id that it can't hold, or that is the ``reserved`` one, is an error.
     """
-    width, most = np.dtype(id_type).itemsize, np.iinfo(np.dtype(id_type)).max
     path = tokenizer or default_tokenizer()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in chunks(texts):
-                ids, at = own.encode(texts.slice(a, b - a))
-                if end_id is not None:
-                    ids = np.insert(ids, at[1:], np.uint32(end_id))
-                    at = at + np.arange(len(at))
-                if len(ids) and (int(ids.max()) > most or (reserved is not None and (ids == reserved).any())):
-                    raise ValueError("an id is too large for its type, or is reserved")
-                data = np.ascontiguousarray(ids, id_type)
-                packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), packed], ["doc_id", "n_tokens", "ids"])
-
-    source = texts_for_python(documents, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return texts_to_encode(documents, id_col, text_col).mapInArrow(lambda batches: encoded(batches, path, end_id, id_type, reserved), "doc_id long, n_tokens long, ids binary")

@@ -6,6 +6,7 @@ import random
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -119,12 +120,22 @@ def test_token_files_of_an_empty_table(spark):
 
 @pytest.mark.parametrize("block_ids", [1, 3, 1 << 18])
 def test_counts_from_flat_files(spark, reference, block_ids):
-    docs = table(spark, ODD).repartition(3)
-    docs = common.materialize(docs, "docs")
+    docs = table(spark, ODD).repartition(3, F.rand())  # another order each time it is read
+    for file_bytes in (1, 30, 1 << 24):
+        path = f"{common.shared_dir(spark)}/f-{uuid.uuid4().hex}"
+        counts.write_flat(docs, path, file_bytes=file_bytes)
+        got = sorted((r["doc_id"], r["n_tokens"]) for r in counts.token_counts(spark, path, block_ids=block_ids).collect())
+        assert got == [(i, len(ids_of(reference, t))) for i, t in enumerate(ODD)]
+
+
+def test_counts_of_null_and_repeated_ids_and_of_nothing(spark, reference):
+    docs = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "d e f"), (None, None)], "doc_id long, text string")
     path = f"{common.shared_dir(spark)}/f-{uuid.uuid4().hex}"
     counts.write_flat(docs, path)
-    got = {(r["doc_id"], r["n_tokens"]) for r in counts.token_counts(docs, path, block_ids=block_ids).collect()}
-    assert got == {(i, len(ids_of(reference, t))) for i, t in enumerate(ODD)}
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in counts.token_counts(spark, path).collect())
+    assert got == Counter([(None, 2), (1, 1), (1, 3), (None, 0)])
+    counts.write_flat(docs.limit(0), path + "-none")
+    assert counts.token_counts(spark, path + "-none").count() == 0
 
 
 def test_stitching_over_files_and_blocks(spark):
@@ -277,6 +288,60 @@ def test_lattice_sums_all_segmentations():
     assert spelt == pytest.approx(sum(len(w) + 1 for w in words) - by_bytes, abs=1e-6)
 
 
+def test_expected_pieces_equal_all_segmentations():
+    pieces, logp = lattice.vocabulary(lattice.default_vocabulary())
+    index = {p: i for i, p in enumerate(pieces)}
+    words = ["then", "nine", "漢", "aa"]
+
+    def cuts(t):
+        if not t:
+            yield []
+        for k in range(1, len(t) + 1):
+            if t[:k] in index and t[:k] != lattice.END:
+                yield from ([index[t[:k]], *rest] for rest in cuts(t[k:]))
+            elif k == 1:
+                yield from ([*(index[f"<0x{b:02X}>"] for b in t[:1].encode()), *rest] for rest in cuts(t[1:]))
+
+    want = np.zeros(len(pieces))
+    for w in words:
+        ways = list(cuts(lattice.MARK + w))
+        p = np.array([np.exp(logp[way].sum()) for way in ways])
+        for way, share in zip(ways, p / p.sum(), strict=True):
+            np.add.at(want, way, share)
+    assert np.allclose(lattice.Lattice(pieces, logp).run(words, np.ones((4, 1)))[1][:, 0], want, atol=1e-9)
+
+
+def test_lattice_score_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "MAX_CLASSES", 1)
+    rng = random.Random(8)
+    known = ["then", "nine", "over", "ébène", "漢字", "x1,", "rare"]
+    rows = [(i, " ".join(rng.choices(known[: 5 + i % 3], k=rng.randrange(1, 9))) if i else None, ["en", "fr", None][i % 3] if i % 4 else "en", i % 5 != 1) for i in range(40)]
+    rows.append((40, "unseen then 漢 漢", "en", False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")
+    pieces, logp = lattice.vocabulary(lattice.default_vocabulary())
+    words_in = lambda t: [*(t or "").split(), lattice.END]
+    own = lambda r: 0 if r[2] == "en" else 1
+    counts = [Counter(w for r in rows if r[3] and (k is None or own(r) == k) for w in words_in(r[1])) for k in (None, 0, 1)]
+    table_ = spark.createDataFrame([(w, c, counts[1][w], counts[2][w]) for w, c in counts[0].items()], "word string, c long, c0 long, c1 long")
+    logp, of_class = lattice.estimate(table_, pieces, logp, 2, ["c0", "c1"])
+    sums, once = [sum(c.values()) for c in counts], [1 + sum(n == 1 for n in c.values()) for c in counts]
+    texts = [c[lattice.END] for c in counts]
+    longest = lattice.Lattice(pieces, logp).longest
+
+    def log_p(w, k):
+        model = dict(zip(pieces, of_class[k], strict=True))
+        q = math.exp(model[w] if w == lattice.END else brute_lattice(model, longest, w))
+        p = (counts[0][w] + once[0] * q) / (sums[0] + once[0])
+        return math.log10((counts[k + 1][w] + once[k + 1] * p) / (sums[k + 1] + once[k + 1]))
+
+    for hot in (100_000, 2):
+        got = {r["doc_id"]: r["score"] for r in lattice.lattice_scores(docs, class_col="lang", hot_words=hot).collect()}
+        for r in rows:
+            each = [math.log10(texts[k + 1] / texts[0]) + sum(log_p(w, k) for w in words_in(r[1])) for k in (0, 1)]
+            top = max(each)
+            assert got[r[0]] == pytest.approx(top + math.log10(sum(10 ** (x - top) for x in each)), abs=1e-6)
+
+
 def test_lattice_scores_on_edge_texts(spark):
     texts = [*ODD, "the cat sat", "THE cat  ran\n", "zzz qqq"]
     docs = table(spark, texts).withColumn("train", F.col("doc_id") % 2 == 0).repartition(3)
