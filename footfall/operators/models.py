@@ -22,25 +22,28 @@ def backtest(frame: DataFrame, features: list[str], min_train_rows: int = MIN_TR
     """Walk-forward predictions: each row of a segment from ``min_train_rows`` on, by models of the rows before it.
 
     Folds are dealt out in blocks, so that one long segment doesn't make one long task.
-    ``max_folds`` keeps only the last ones; ``refit_every`` above 1 uses a model for several folds.
+    ``max_folds`` keeps only the last ones; with ``refit_every`` above 1 every fold is still predicted, by a model that is
+    fitted anew at every so many of them. A block has whole runs of such folds, so results don't depend on it.
     """
+    block = -(-max(block, refit_every) // refit_every) * refit_every
     line = Window.partitionBy("location_id", "segment").orderBy("service_date")
     rows = with_segment(frame).withColumns({"__at": F.row_number().over(line) - 1, "__n": F.count(F.lit(1)).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     first = F.lit(min_train_rows) if max_folds is None else F.greatest(F.lit(min_train_rows), F.col("__n") - max_folds)
-    last_block = F.floor((F.col("__n") - 1) / block).cast("int")
-    first_block = F.floor(F.greatest(first, F.col("__at")) / block).cast("int")
+    last_block = F.floor((F.col("__n") - 1 - min_train_rows) / block).cast("int")
+    first_block = F.floor((F.greatest(first, F.col("__at")) - min_train_rows) / block).cast("int")
     dealt = rows.filter(F.col("__n") > min_train_rows).withColumns({"__first": first, "__from": first_block, "__to": last_block}).filter(F.col("__from") <= F.col("__to"))
-    dealt = dealt.withColumn("__block", F.explode(F.sequence("__from", "__to"))).filter(F.col("__at") < (F.col("__block") + 1) * block)
+    dealt = dealt.withColumn("__block", F.explode(F.sequence("__from", "__to"))).filter(F.col("__at") < min_train_rows + (F.col("__block") + 1) * block)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         location, own, number = key
         part = part.sort_values("__at")
         x, y = part[features].to_numpy(float), part["visitors"].to_numpy(float)
-        out, point = [], None
-        for i in range(max(int(number) * block, int(part["__first"].iloc[0])), len(part)):
-            if point is None or (i - min_train_rows) % refit_every == 0:
-                point = trees.fit_forest(x[:i], y[:i], trees.seed_of(location, own, i), n_trees)
-                upper = trees.fit_quantile(x[:i], y[:i], quantile, rounds)
+        first, out, point = max(min_train_rows + int(number) * block, int(part["__first"].iloc[0])), [], None
+        fitted = [i for i in range(first, len(part)) if i == first or (i - min_train_rows) % refit_every == 0]
+        uppers = dict(zip(fitted, trees.fit_quantiles(x, y, fitted, quantile, rounds), strict=True))
+        for i in range(first, len(part)):
+            if i in uppers:
+                point, upper = trees.fit_forest(x[:i], y[:i], trees.seed_of(location, own, i), n_trees), uppers[i]
             pred, pred_q = float(trees.predict(point, x[i : i + 1], True)[0]), float(trees.predict(upper, x[i : i + 1], False)[0])
             out.append((location, own, part["service_date"].iloc[i], i, i, y[i], pred, pred_q, abs(y[i] - pred), int(own == "sun")))
         return pd.DataFrame(out, columns=["location_id", "segment", "service_date", "fold", "train_rows", "actual", "pred", "pred_q", "abs_error", "is_sun"])

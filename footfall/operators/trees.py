@@ -1,8 +1,9 @@
 """Small tree models on numpy arrays, for groups of some hundred rows: a regression forest and a boosted quantile.
 
-Features are replaced by the ranks of their distinct values in the training rows. All trees of
-a forest grow together, a level at a time: one ``bincount`` over (tree, node, feature, rank)
-gives the sums from which every split is chosen.
+Splits are exact: between any two neighbouring values of a feature. Many trees grow together, a level at
+a time. The rows of each feature stay sorted by (tree, node, value), so cumulative sums give every split of
+every node at once, and a level only deals the rows of a node to its children, in the same order. All
+trees of a forest grow in this way, and so do the boosted trees of all folds of a backtest.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import zlib
 
 import numpy as np
 
-#: Trees of a forest that grow together; bounds the memory of a level's sums.
-TREES_AT_ONCE = 40
+#: Rows of all trees that grow together; bounds the memory of a level's sums.
+ROWS_AT_ONCE = 20_000
 
 
 def seed_of(*parts: object) -> int:
@@ -21,95 +22,114 @@ def seed_of(*parts: object) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode()) + 42
 
 
-class Ranks:
-    """Distinct training values of each feature and the cuts between them."""
+class Rows:
+    """Rows of several trees, and for each feature their order by tree and value. ``weight`` is trees x rows; 0: not in the tree."""
 
-    def __init__(self, x: np.ndarray, most: int = 48):
-        self.cuts = []
-        for column in x.T:
-            distinct = np.unique(column)
-            if len(distinct) > most:
-                distinct = np.unique(np.quantile(column, np.linspace(0, 1, most)))
-            self.cuts.append((distinct[:-1] + distinct[1:]) / 2)
-        self.width = max((len(c) for c in self.cuts), default=0) + 1
+    def __init__(self, x: np.ndarray, weight: np.ndarray):
+        self.x, (self.trees, self.rows) = x, weight.shape
+        self.tree, self.row = np.nonzero(weight)
+        self.weight = weight[self.tree, self.row].astype(float)
+        self.alike = bool((self.weight == 1).all())
+        self.sizes = np.bincount(self.tree, minlength=self.trees)
+        place = np.argsort(np.argsort(x, 0, kind="stable"), 0, kind="stable")
+        self.order = np.stack([np.argsort(self.tree * self.rows + p[self.row]) for p in place.T]) if x.shape[1] else np.zeros((0, len(self.row)), np.int64)
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, column, "left") for c, column in zip(self.cuts, x.T, strict=True)], 1) if self.cuts else np.zeros((len(x), 0), np.int64)
 
+def _running(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums within each group, and the groups' sums (those of the first row of ``value``: all rows have the same)."""
+    total = value.cumsum(1)
+    before = total[:, starts] - value[:, starts]
+    return total - before[:, group], total[0, ends] - before[0]
 
-def _grow(ranks: np.ndarray, width: int, target: np.ndarray, weight: np.ndarray, depth: int, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trees of full depth: feature (-1: leaf) and rank of each node, and each row's node; weight is trees x rows.
 
-    A node's children are 2n+1 and 2n+2; a row goes left if its rank is at most the node's.
+def _grow(rows: Rows, target: np.ndarray, depth: int, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature (-1: leaf) and threshold of each node of each tree, and the node of each of ``rows``; ``target`` is by row of ``rows``.
+
+    A node's children are 2n+1 and 2n+2; a row goes left if its value is at most the threshold.
     """
-    trees, rows = weight.shape
-    if trees > TREES_AT_ONCE:
-        parts = [_grow(ranks, width, target, weight[i : i + TREES_AT_ONCE], depth, leaf) for i in range(0, trees, TREES_AT_ONCE)]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    features = ranks.shape[1]
-    feature = np.full((trees, 2 ** (depth + 1) - 1), -1, np.int64)
-    cut = np.zeros_like(feature)
-    node = np.zeros((trees, rows), np.int64)
-    for level in range(depth):
-        first, n = 2**level - 1, 2**level
-        at = node - first
-        here = (at >= 0) & (weight > 0)
-        if not here.any():
-            break
-        tree, row = np.nonzero(here)
-        place = tree * n + at[tree, row]
-        used, place = np.unique(place, return_inverse=True)
-        w, y = weight[tree, row], target[row]
-        if not features:
-            break
-        key = (place[:, None] * features + np.arange(features)) * width + ranks[row]
-        size = len(used) * features * width
-        count = np.bincount(key.ravel(), np.repeat(w, features), size).reshape(len(used), features, width).cumsum(2)
-        total = np.bincount(key.ravel(), np.repeat(w * y, features), size).reshape(len(used), features, width).cumsum(2)
-        left_n, left_s = count[:, :, :-1], total[:, :, :-1]
-        right_n, right_s = count[:, :, -1:] - left_n, total[:, :, -1:] - left_s
-        if not left_n.shape[2]:
+    shape = rows.trees, 2 ** (depth + 1) - 1
+    feature, cut = np.full(shape, -1, np.int64), np.zeros(shape)
+    node = np.zeros(len(rows.row), np.int64)
+    weighted = rows.weight * target
+    order, tree_of, node_of, sizes = rows.order, np.arange(rows.trees), np.zeros(rows.trees, np.int64), rows.sizes
+    values = rows.x[rows.row].T  # feature x row
+    for _ in range(depth):
+        if not order.size:
             break
+        starts = np.cumsum(sizes) - sizes
+        some = np.flatnonzero(sizes)
+        n, at = order.shape[1], starts[some]
+        group = np.repeat(np.arange(len(some)), sizes[some])
+        here = np.take_along_axis(values, order, 1)
+        ends = at + sizes[some] - 1
+        weights = rows.weight[order[:1] if rows.alike else order]  # of rows that weigh alike every feature has the same sums
+        left_n, all_n = _running(weights, at, ends, group)
+        left_s, all_s = _running(weighted[order], at, ends, group)
+        right_n = all_n[group] - left_n
+        last = np.zeros(n, bool)
+        last[ends] = True
+        can = (left_n >= leaf) & (right_n >= leaf) & ~last
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where((left_n >= leaf) & (right_n >= leaf), left_s**2 / left_n + right_s**2 / right_n - total[:, :, -1:] ** 2 / count[:, :, -1:], -np.inf)
-        best = score.argmax(2)
-        gain = np.take_along_axis(score, best[:, :, None], 2)[:, :, 0]
-        chosen = gain.argmax(1)
-        split = gain[np.arange(len(used)), chosen] > 1e-9
-        nodes = used % n + first
-        feature[used[split] // n, nodes[split]] = chosen[split]
-        cut[used[split] // n, nodes[split]] = best[np.arange(len(used)), chosen][split]
-        go = split[place]
-        tree, row, place = tree[go], row[go], place[go]
-        right = ranks[row, chosen[place]] > best[place, chosen[place]]
-        node[tree, row] = 2 * node[tree, row] + 1 + right
+            score = left_s * left_s / left_n
+            np.subtract(all_s[group], left_s, out=left_s)
+            left_s *= left_s
+            left_s /= right_n
+            score += left_s
+        can = np.broadcast_to(can, score.shape)[:, :-1] & (here[:, :-1] != here[:, 1:])
+        score[:, :-1][~can] = -np.inf
+        score[:, -1] = -np.inf
+        best = np.maximum.reduceat(score, at, 1)
+        chosen = best.argmax(0)
+        gain = best[chosen, np.arange(len(some))] - all_s**2 / all_n
+        split = gain > 1e-9
+        if not split.any():
+            break
+        first = np.where(score[chosen[group], np.arange(n)] == best[chosen, np.arange(len(some))][group], np.arange(n), n)
+        where = np.minimum.reduceat(first, at)
+        where = np.where(split, np.minimum(where, n - 2), 0)
+        threshold = (here[chosen, where] + here[chosen, where + 1]) / 2
+        feature[tree_of[some[split]], node_of[some[split]]] = chosen[split]
+        cut[tree_of[some[split]], node_of[some[split]]] = threshold[split]
+        entry = order[0]  # every feature lists the same rows of a node
+        right = values[chosen[group], entry] > threshold[group]
+        child = np.full(len(rows.row), -1, np.int64)
+        number = np.cumsum(split) - 1
+        child[entry] = np.where(split[group], 2 * number[group] + right, -1)
+        node[entry] = np.where(split[group], 2 * node_of[some[group]] + 1 + right, node[entry])
+        tree_of = np.repeat(tree_of[some[split]], 2)
+        node_of = np.stack([2 * node_of[some[split]] + 1, 2 * node_of[some[split]] + 2], 1).ravel()
+        keep = split[group]
+        kept = order[:, keep] if keep.all() else order[np.broadcast_to(keep, order.shape)].reshape(len(order), -1)
+        to = child[kept].astype(np.uint16 if 2 * split.sum() < 1 << 16 else np.int64)
+        order = np.take_along_axis(kept, np.argsort(to, 1, kind="stable"), 1)
+        sizes = np.bincount(child[entry][keep], minlength=len(tree_of))
     return feature, cut, node
 
 
-def _leaves(feature: np.ndarray, cut: np.ndarray, ranks: np.ndarray, depth: int) -> np.ndarray:
+def _leaves(feature: np.ndarray, cut: np.ndarray, x: np.ndarray, depth: int) -> np.ndarray:
     """The node at which each row ends in each tree."""
-    trees, rows = len(feature), len(ranks)
+    trees, rows = len(feature), len(x)
     node, tree = np.zeros((trees, rows), np.int64), np.arange(trees)[:, None]
     for _ in range(depth):
         f = feature[tree, node]
-        inner = f >= 0
-        value = ranks[np.arange(rows)[None, :], np.maximum(f, 0)] if ranks.shape[1] else np.zeros_like(node)
-        node = np.where(inner, 2 * node + 1 + (value > cut[tree, node]), node)
+        value = x[np.arange(rows)[None, :], np.maximum(f, 0)] if x.shape[1] else np.zeros(node.shape)
+        node = np.where(f >= 0, 2 * node + 1 + (value > cut[tree, node]), node)
     return node
 
 
 def fit_forest(x: np.ndarray, y: np.ndarray, seed: int, trees: int = 400, depth: int = 8, leaf: int = 2) -> dict[str, np.ndarray]:
     """Bootstrap forest of variance-reducing trees."""
-    own = Ranks(x)
-    ranks = own.of(x)
     draws = np.random.default_rng(seed).integers(0, len(y), (trees, len(y)))
-    weight = np.stack([np.bincount(d, minlength=len(y)) for d in draws]).astype(float)
-    feature, cut, node = _grow(ranks, own.width, y, weight, depth, leaf)
-    key = (np.arange(trees)[:, None] * feature.shape[1] + node).ravel()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        value = np.bincount(key, (weight * y).ravel(), feature.size) / np.bincount(key, weight.ravel(), feature.size)
-    value = _fill_down(value.reshape(feature.shape), float(y.mean()))
-    return _packed(own, feature, cut, value, 0.0)
+    weight = np.stack([np.bincount(d, minlength=len(y)) for d in draws])
+    together, parts = max(1, ROWS_AT_ONCE // max(1, len(y))), []
+    for i in range(0, trees, together):
+        rows = Rows(x, weight[i : i + together])
+        feature, cut, node = _grow(rows, y[rows.row], depth, leaf)
+        key = rows.tree * feature.shape[1] + node
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.bincount(key, rows.weight * y[rows.row], feature.size) / np.bincount(key, rows.weight, feature.size)
+        parts.append((feature, cut, _fill_down(value.reshape(feature.shape), float(y.mean()))))
+    return _packed(*(np.concatenate(p) for p in zip(*parts, strict=True)), 0.0)
 
 
 def _fill_down(value: np.ndarray, otherwise: float) -> np.ndarray:
@@ -119,36 +139,50 @@ def _fill_down(value: np.ndarray, otherwise: float) -> np.ndarray:
     return value
 
 
-def fit_quantile(x: np.ndarray, y: np.ndarray, quantile: float = 0.8, rounds: int = 500, depth: int = 4, leaf: int = 20, rate: float = 0.05) -> dict[str, np.ndarray]:
-    """Boosted trees for the pinball loss; with fewer rows than two leaves take, the quantile itself."""
-    own, start = Ranks(x), float(np.quantile(y, quantile))
-    size = 2 ** (depth + 1) - 1
-    if len(y) < 2 * leaf:
-        return _packed(own, np.full((1, size), -1), np.zeros((1, size), int), np.zeros((1, size)), start)
-    ranks, now = own.of(x), np.full(len(y), start)
+def _quantiles(value: np.ndarray, group: np.ndarray, n_groups: int, quantile: float) -> np.ndarray:
+    """Linear quantile of the values of each group; 0 where there are none."""
+    order = np.lexsort((value, group))
+    sizes = np.bincount(group, minlength=n_groups)
+    starts, ranked = np.cumsum(sizes) - sizes, np.append(value[order], 0.0)
+    at = starts + quantile * np.maximum(sizes - 1, 0)
+    low = np.floor(at).astype(np.int64)
+    high = np.minimum(low + 1, starts + np.maximum(sizes - 1, 0))
+    return np.where(sizes > 0, ranked[low] + (at - low) * (ranked[high] - ranked[low]), 0.0)
+
+
+def fit_quantiles(x: np.ndarray, y: np.ndarray, sizes: list[int], quantile: float = 0.8, rounds: int = 500, depth: int = 4, leaf: int = 20, rate: float = 0.05) -> list[dict[str, np.ndarray]]:
+    """For each of ``sizes``, boosted trees for the pinball loss on so many first rows; with fewer rows than two leaves take, the quantile itself."""
+    nodes = 2 ** (depth + 1) - 1
+    start = np.array([np.quantile(y[:n], quantile) for n in sizes])
+    if not sizes or max(sizes) < 2 * leaf:
+        return [_packed(np.full((1, nodes), -1), np.zeros((1, nodes)), np.zeros((1, nodes)), float(q)) for q in start]
+    rows = Rows(x, np.arange(len(y)) < np.array(sizes)[:, None])
+    own, now = y[rows.row], start[rows.tree]
     features, cuts, values = [], [], []
     for _ in range(rounds):
-        pull = quantile - (y < now)
-        feature, cut, node = _grow(ranks, own.width, pull, np.ones((1, len(y))), depth, leaf)
-        value = np.zeros(size)
-        for n in np.unique(node[0]):
-            value[n] = rate * np.quantile((y - now)[node[0] == n], quantile)
-        now = now + value[node[0]]
-        features.append(feature[0]), cuts.append(cut[0]), values.append(value)
-    return _packed(own, np.array(features), np.array(cuts), np.array(values), start)
+        feature, cut, node = _grow(rows, (own < now).astype(float), depth, leaf)  # the gradient but for a constant: whole numbers add up exactly
+        key = rows.tree * nodes + node
+        value = rate * _quantiles(own - now, key, feature.size, quantile)
+        now = now + value[key]
+        features.append(feature), cuts.append(cut), values.append(value.reshape(feature.shape))
+    parts = [np.stack(p, 1) for p in (features, cuts, values)] if rounds else [np.full((len(sizes), 1, nodes), -1), np.zeros((len(sizes), 1, nodes)), np.zeros((len(sizes), 1, nodes))]
+    live = np.array(sizes) >= 2 * leaf
+    return [_packed(parts[0][i], parts[1][i], parts[2][i] * live[i], float(start[i])) for i in range(len(sizes))]
+
+
+def fit_quantile(x: np.ndarray, y: np.ndarray, quantile: float = 0.8, rounds: int = 500, depth: int = 4, leaf: int = 20, rate: float = 0.05) -> dict[str, np.ndarray]:
+    """``fit_quantiles`` on all rows."""
+    return fit_quantiles(x, y, [len(y)], quantile, rounds, depth, leaf, rate)[0]
 
 
-def _packed(ranks: Ranks, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, start: float) -> dict[str, np.ndarray]:
-    sizes = np.array([len(c) for c in ranks.cuts], np.int64)
-    return {"sizes": sizes, "cuts": np.concatenate(ranks.cuts) if len(sizes) else np.zeros(0), "feature": feature.astype(np.int16), "cut": cut.astype(np.int16), "value": value, "start": np.array([start])}
+def _packed(feature: np.ndarray, cut: np.ndarray, value: np.ndarray, start: float) -> dict[str, np.ndarray]:
+    return {"feature": feature.astype(np.int16), "cut": cut, "value": value, "start": np.array([start])}
 
 
 def predict(model: dict[str, np.ndarray], x: np.ndarray, mean: bool) -> np.ndarray:
     """Mean over the trees (a forest), or start plus their sum (boosting)."""
-    parts = np.split(model["cuts"], np.cumsum(model["sizes"])[:-1]) if len(model["sizes"]) else []
-    ranks = np.stack([np.searchsorted(c, column, "left") for c, column in zip(parts, x.T, strict=True)], 1) if parts else np.zeros((len(x), 0), np.int64)
-    feature, cut = model["feature"].astype(np.int64), model["cut"].astype(np.int64)
-    node = _leaves(feature, cut, ranks, (feature.shape[1] + 1).bit_length() - 1)
+    feature = model["feature"].astype(np.int64)
+    node = _leaves(feature, model["cut"], x, (feature.shape[1] + 1).bit_length() - 1)
     each = np.take_along_axis(model["value"], node, 1)
     return each.mean(0) if mean else model["start"][0] + each.sum(0)
 

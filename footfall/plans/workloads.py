@@ -16,21 +16,23 @@ from footfall.sources.files import read_version
 from footfall.streaming import jobs
 
 FEATURES = feature_names(True)
+#: Folds of a segment that one fit predicts in the registered backtests: half a year of weekends. 1 fits anew for each.
+REFIT_EVERY = 26
 
 
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.training_frame(fixture(spark, sf_dir, "attendance"), fixture(spark, sf_dir, "weather_daily"))
 
 
-def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_backtest(spark: SparkSession, sf_dir: str, refit_every: int = REFIT_EVERY) -> DataFrame:
     """Walk-forward predictions by the tree models, of every fold of each segment."""
-    return models.backtest(training_frame(spark, sf_dir), FEATURES)
+    return models.backtest(training_frame(spark, sf_dir), FEATURES, refit_every=refit_every)
 
 
-def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_metrics(spark: SparkSession, sf_dir: str, refit_every: int = REFIT_EVERY) -> DataFrame:
     """Metrics of the models' backtest in every scope, as one JSON object for each location."""
     frame = training_frame(spark, sf_dir)
-    predictions = models.backtest(frame, FEATURES)
+    predictions = models.backtest(frame, FEATURES, refit_every=refit_every)
     return backtest.metrics_json(backtest.metrics_by_scope(predictions, frame.select("location_id")))
 
 
