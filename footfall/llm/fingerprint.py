@@ -1,15 +1,14 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and cuts.
 
-A paragraph is a line. It is cut after any white space that follows n, t, r or a mark of
+A paragraph is a line. It is cut after any white space that follows n or a mark of
 punctuation: the cuts are the tree's leaves. A section ends after each paragraph whose digest starts
 with 0 to 3 and at the text's end. Content decides all of these, so an edit moves no distant boundary.
-A leaf is the MD5 of its text, a paragraph's node the SHA-256 of its leaves, a section's that of its
-paragraphs' nodes, the root's that of the sections' nodes. Equal roots mean equal texts.
+A leaf is half the MD5 of its text behind that of the cut before it in the paragraph, so its place matters; a paragraph's node
+is the SHA-256 of its leaves, a section's that of its paragraphs' nodes, the root's that of the sections' nodes. Equal roots mean equal texts.
 
 Two trees are compared from the root down, and only what differs is opened: nodes that both have are
 set aside, each as often as both have it, first sections, then the paragraphs of the others, then the leaves of the
-paragraphs left. A leaf counts with the one before it in its paragraph, so its place matters; an empty leaf counts
-nothing. The likeness of two texts is the Dice coefficient of leaves and root: equal texts have 1, others less.
+paragraphs left. The leaf of an empty cut counts nothing. The likeness of two texts is the Dice coefficient of leaves and root: equal texts have 1, others less.
 ``locate_edits`` descends in the same way to the run of paragraphs outside which both texts agree.
 
 A null text is the empty one. Extra columns are ignored. An empty table gives an empty one.
@@ -26,12 +25,13 @@ from pyspark.sql.window import Window
 
 #: A paragraph whose node is below this ends its section.
 SECTION_END = "4"
-CUT = r"([ntr.,;:!?|)][ \t\r\f\x0B]+)"
+CUT = r"([n.,;:!?|)][ \t\r\f\x0B]+)"
 MARK = "\u0001"
 #: Between leaves, between a paragraph's node and its leaves, after a paragraph, after a section.
 LEAF, HAS, PARAGRAPH, SECTION = " ", "=", "/", "|"
-NODE = 64
-EMPTY_LEAF = hashlib.md5(b"").hexdigest()
+#: Hexadecimal digits of a paragraph's node and of a leaf; the leaf of an empty cut.
+NODE, DIGITS = 64, 16
+EMPTY_LEAF = hashlib.md5(b"").hexdigest()[:DIGITS]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,7 +42,12 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def tree(text: Column) -> Column:
     """The tree of a text as the array of its sections: each is its paragraphs, nodes and leaves written in order."""
     marked = F.regexp_replace(text, CUT, f"$1{MARK}")
-    lines = F.transform(F.split(marked, "\n"), lambda p: F.array_join(F.transform(F.split(p, MARK), lambda x: F.md5(x)), LEAF))
+
+    def leaves(cuts: Column) -> Column:
+        own = lambda x, i: F.when(x == "", EMPTY_LEAF).otherwise(F.substring(F.md5(F.concat(F.when(i > 0, F.get(cuts, i - 1)).otherwise(""), F.lit(MARK), x)), 1, DIGITS))
+        return F.array_join(F.transform(cuts, own), LEAF)
+
+    lines = F.transform(F.transform(F.split(marked, "\n"), lambda p: F.split(p, MARK)), leaves)
     nodes = F.transform(lines, lambda p: F.struct(F.sha2(p, 256).alias("node"), p.alias("leaves")))
     whole = F.array_join(F.transform(nodes, lambda p: F.concat(p["node"], F.lit(HAS), p["leaves"], F.when(p["node"] < SECTION_END, SECTION).otherwise(PARAGRAPH))), "")
     return F.split(F.regexp_replace(whole, r"[/|]\z", ""), r"\|")
@@ -81,31 +86,43 @@ def _plain(nodes: Column) -> Column:
 
 
 def _leaves(paragraphs: Column) -> Column:
-    """Every leaf of the paragraphs behind the one before it; those that are empty are left out."""
+    """The leaves of paragraphs, in order, without those of empty cuts."""
+    written = F.array_join(F.transform(paragraphs, lambda p: F.substring(p, NODE + 2, 1 << 30)), LEAF)
+    return F.when(F.size(paragraphs) == 0, F.array().cast("array<string>")).otherwise(F.array_remove(F.split(written, LEAF), EMPTY_LEAF))
 
-    def pairs(leaves: Column) -> Column:
-        return F.transform(F.filter(F.transform(leaves, lambda x, i: F.struct(x.alias("own"), F.when(i > 0, F.get(leaves, i - 1)).otherwise("").alias("last"))), lambda x: x["own"] != EMPTY_LEAF), lambda x: F.concat(x["last"], x["own"]))
 
-    return F.flatten(F.transform(paragraphs, lambda p: _let(F.split(F.substring(p, NODE + 2, 1 << 30), LEAF), pairs)))
+def n_leaves(sections: Column) -> Column:
+    """How many leaves, but for those of empty cuts, a tree has: known from how long it is written, as all its parts have fixed lengths."""
 
+    def occurrences(text: Column, of: str) -> Column:
+        return (F.length(text) - F.length(F.replace(text, F.lit(of), F.lit("")))) / len(of)
 
-def n_leaves(sections: Column) -> Column:
-    """How many leaves that aren't empty a tree has."""
-    joined = F.array_join(sections, PARAGRAPH)
-    return F.size(F.filter(F.split(joined, f"[{LEAF}{HAS}{PARAGRAPH}]"), lambda x: (F.length(x) < NODE) & (x != EMPTY_LEAF)))
+    def count(whole: Column) -> Column:
+        leaves = (F.length(whole) - (NODE + 1) * occurrences(whole, HAS) + 1) / (DIGITS + 1)
+        return (leaves - occurrences(whole, EMPTY_LEAF)).cast("int")
+
+    return _let(F.array_join(sections, PARAGRAPH), count)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of two trees' leaves and roots, between 0 and 1, found by opening only what differs."""
 
-    def differing(x: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
-        return _let(F.struct(_numbered(x).alias("x"), _numbered(y).alias("y")), lambda v: _let(F.struct(F.array_except(v["x"], v["y"]).alias("x"), F.array_except(v["y"], v["x"]).alias("y")), lambda d: use(d["x"], d["y"])))
+    def of_a_kind(v: Column) -> Column:
+        """Both multisets as sets."""
+        distinct = F.struct(F.array_distinct(v["x"]).alias("x"), F.array_distinct(v["y"]).alias("y"))
+        return _let(distinct, lambda d: F.when((F.size(d["x"]) == F.size(v["x"])) & (F.size(d["y"]) == F.size(v["y"])), F.struct(d.alias("of"), F.lit(False).alias("numbered"))).otherwise(F.struct(F.struct(_numbered(v["x"]).alias("x"), _numbered(v["y"]).alias("y")).alias("of"), F.lit(True).alias("numbered"))))
 
-    def paragraphs(x: Column) -> Column:
-        return F.flatten(F.transform(_plain(x), _paragraphs))
+    def sets(x: Column, y: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+        return _let(_let(F.struct(x.alias("x"), y.alias("y")), of_a_kind), lambda v: use(v["of"]["x"], v["of"]["y"], v["numbered"]))
+
+    def differing(x: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
+        """``use`` of what only one of two multisets has."""
+        plain = lambda left, numbered: F.when(numbered, _plain(left)).otherwise(left)
+        return sets(x, y, lambda p, q, numbered: _let(F.struct(plain(F.array_except(p, q), numbered).alias("x"), plain(F.array_except(q, p), numbered).alias("y")), lambda d: use(d["x"], d["y"])))
 
     def opened(x: Column, y: Column) -> Column:
-        return differing(paragraphs(x), paragraphs(y), lambda p, q: differing(_leaves(_plain(p)), _leaves(_plain(q)), lambda k, m: F.size(k) + F.size(m)))
+        below = F.flatten(F.transform(x, _paragraphs)), F.flatten(F.transform(y, _paragraphs))
+        return differing(*below, lambda p, q: sets(_leaves(p), _leaves(q), lambda k, m, _: F.size(k) + F.size(m) - 2 * F.size(F.array_intersect(k, m))))
 
     own, other = n_leaves(a), n_leaves(b)
     apart = differing(a, b, opened)  # leaves that only one of the two has

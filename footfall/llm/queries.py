@@ -111,10 +111,11 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
 
 
-_LEAVES = r"list_transform(string_split({0}, chr(10)), lambda p: list_transform(string_split(regexp_replace(p, '([ntr.,;:!?|)][ \t\r\f\x0B]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: md5(x)))"
+_CUTS = r"list_transform(string_split({0}, chr(10)), lambda p: string_split(regexp_replace(p, '([n.,;:!?|)][ \t\r\f\x0B]+)', '\1' || chr(1), 'g'), chr(1)))"
+_LEAVES = f"list_transform({_CUTS}, lambda p: list_transform(p, lambda x, i: left(CASE WHEN x = '' THEN md5('') ELSE md5(CASE WHEN i > 1 THEN p[i - 1] ELSE '' END || chr(1) || x) END, 16)))"
 _NODES = "list_transform({0}, lambda p: sha256(array_to_string(p, ' ')))"
 _SECTIONS = "list_transform(string_split(regexp_replace(array_to_string({0}, ' '), '(\\b[0-3][0-9a-f]+) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: sha256(s))"
-_PAIRS = "flatten(list_transform({0}, lambda p: list_filter(list_transform(p, lambda x, i: CASE WHEN x = md5('') THEN NULL WHEN i > 1 THEN p[i - 1] || x ELSE x END), lambda x: x IS NOT NULL)))"
+_COUNTED = "list_filter(flatten({0}), lambda x: x <> left(md5(''), 16))"
 _ROOT = f"sha256(array_to_string({_SECTIONS.format(_NODES)}, ''))"
 
 
@@ -134,7 +135,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT row_number() OVER () AS row, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text FROM d),
 e AS (SELECT *, length(text) AS n_chars, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM n),
 l AS (SELECT *, {_LEAVES.format('text')} AS l0, {_LEAVES.format('edited')} AS l1, {_LEAVES.format('next_text')} AS l2 FROM e),
-p AS (SELECT *, {_PAIRS.format('l0')} AS p0, {_PAIRS.format('l1')} AS edited_p, {_PAIRS.format('l2')} AS next_text_p FROM l),
+p AS (SELECT *, {_COUNTED.format('l0')} AS p0, {_COUNTED.format('l1')} AS edited_p, {_COUNTED.format('l2')} AS next_text_p FROM l),
 {_likeness_sql('edited', 'near')}, {_likeness_sql('next_text', 'far')}
 SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format('l0')} AS fingerprint, {_ROOT.format('l1')} AS edited_fingerprint,
   near.likeness AS near_edited, far.likeness AS near_next

@@ -56,7 +56,8 @@ def test_fingerprints_say_equality_and_place(spark):
 
 def brute_tree(text):
     """Leaves by paragraph, and the root."""
-    lines = [[hashlib.md5(x.encode()).hexdigest() for x in re.sub("([ntr.,;:!?|)][ \t\r\f\v]+)", "\\1\1", line).split("\1")] for line in text.split("\n")]
+    cuts = [re.sub("([n.,;:!?|)][ \t\r\f\v]+)", "\\1\1", line).split("\1") for line in text.split("\n")]
+    lines = [[hashlib.md5(((p[i - 1] if i else "") + "\1" + x if x else "").encode()).hexdigest()[:16] for i, x in enumerate(p)] for p in cuts]
     sections, own = [], []
     for leaves in lines:
         own.append(hashlib.sha256(" ".join(leaves).encode()).hexdigest())
@@ -69,8 +70,8 @@ def brute_tree(text):
 
 def brute_likeness(a, b):
     (x, root_x), (y, root_y) = brute_tree(a), brute_tree(b)
-    nothing = hashlib.md5(b"").hexdigest()
-    x, y = (Counter((p[i - 1] if i else "", leaf) for p in t for i, leaf in enumerate(p) if leaf != nothing) for t in (x, y))
+    nothing = hashlib.md5(b"").hexdigest()[:16]
+    x, y = (Counter(leaf for p in t for leaf in p if leaf != nothing) for t in (x, y))
     return (2 * sum((x & y).values()) + 2 * (root_x == root_y)) / (sum(x.values()) + sum(y.values()) + 2)
 
 
