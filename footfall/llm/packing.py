@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import dense_rank_in_groups, materialize
+from footfall.llm.common import dense_rank_in_groups, materialize, shuffle_width
 
 
 class CapacityTree:
@@ -114,6 +114,6 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length)], [*names, "sequence_id", "offset"])
 
-    ranked = dense_rank_in_groups(stored, ["length"], ["doc_id", "piece"], "rank")
+    ranked = dense_rank_in_groups(stored, ["length"], ["doc_id", "piece"], "rank", max(64, shuffle_width(items.sparkSession)))
     schema = ", ".join(f"`{n}` {t}" for n, t in stored.dtypes)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -35,6 +35,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Kinds of keys: the segment that is exact, and the one that is near; the last kind is near in all three.
 KINDS = tuple((k, i) for k in range(3) for i in range(3) if i != k)
 SHINGLE, SEED, LINK_BITS = 3, 42, 3
+#: Fingerprints that are broadcast at most: each is shared by more than one in so many rows.
+HOT_CLASSES = 1000
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -150,10 +152,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id, the least doc_id of those reachable through links, for every row."""
     fps = materialize(fingerprints(documents, id_col, text_col), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = materialize(components(links(classes)), "simhash-roots")
     named = classes.join(roots, F.col("fp") == F.col("node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = named.join(least, "root").select("fp", "component_id")  # only classes with links
-    whole = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = materialize(classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "simhash-whole")
+    # copies of one text all have its fingerprint: those of over a share of all rows are few, and their rows are never gathered
+    most = (classes.agg(F.sum("n")).first()[0] or 0) / HOT_CLASSES
+    hot, rest = whole.filter(F.col("n") > most).drop("n"), whole.filter(F.col("n") <= most).drop("n")
+    of_hot = fps.join(F.broadcast(hot), "fp")
+    of_rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return of_hot.unionByName(of_rest).select("doc_id", "fp", "component_id")
