@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from footfall.functions.values import authorized_of, role_of, stripped, username_key
 
 
+#: Copies of the locations that master accounts are joined with, so that they don't meet in one task.
+MASTER_PARTS = 64
+
+
 def normalized(users: DataFrame) -> DataFrame:
     """username, role and authorized_locations in their normal form; nobody without a name."""
     out = users.select(stripped(F.col("username")).alias("username"), role_of(F.col("role")).alias("role"), "authorized_locations").filter(F.col("username") != "")
@@ -46,13 +49,13 @@ def audit(users: DataFrame) -> DataFrame:
 def visible_locations(users: DataFrame, locations: DataFrame) -> DataFrame:
     """username, location_id for every location a (normalised) user sees; unknown ids drop out.
 
-    Masters see all: they are joined on their role, the others on the ids they list.
+    Masters see all: they are dealt out over ``MASTER_PARTS`` copies of the locations, the others are joined on the ids they list.
     """
     places = locations.select(F.col("id").alias("location_id"))
     listed = users.filter(F.col("role") != "master").select("username", F.explode(F.array_distinct("authorized_locations")).alias("location_id"))
-    masters = users.filter(F.col("role") == "master").select("username", "role")
-    everywhere = places.withColumn("role", F.lit("master"))
-    return listed.join(places, "location_id", "left_semi").select("username", "location_id").unionByName(masters.join(everywhere, "role").select("username", "location_id"))
+    masters = users.filter(F.col("role") == "master").select("username", F.pmod(F.xxhash64("username"), F.lit(MASTER_PARTS)).alias("part"))
+    everywhere = places.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MASTER_PARTS - 1).cast("long"))))
+    return listed.join(places, "location_id", "left_semi").select("username", "location_id").unionByName(masters.join(everywhere, "part").select("username", "location_id"))
 
 
 def location_labels(users: DataFrame, locations: DataFrame) -> DataFrame:
@@ -72,6 +75,6 @@ def account_counts(users: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def first_of_name(users: DataFrame) -> DataFrame:
-    """One record for each name, the first by ``seq``: the one that a look-up finds."""
-    line = Window.partitionBy(username_key(F.col("username"))).orderBy("seq")
-    return users.withColumn("__n", F.row_number().over(line)).filter(F.col("__n") == 1).drop("__n")
+    """One record for each name, the first by ``seq``: the one that a look-up finds. Names combine before the shuffle."""
+    first = users.groupBy(username_key(F.col("username")).alias("__key")).agg(F.min_by(F.struct(*users.columns), "seq").alias("__first"))
+    return first.select("__first.*")

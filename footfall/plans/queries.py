@@ -198,8 +198,8 @@ QUERIES: dict[str, Query] = {
       WHEN role = 'master' AND authorized_locations <> ['*'] THEN 'Master accounts must use authorized_locations [''*''].' WHEN role = 'staff' AND len(authorized_locations) = 0 THEN 'Staff account has no authorized locations.' WHEN role = 'staff' AND list_contains(authorized_locations, '*') THEN 'Wildcard ''*'' is only valid for master accounts.'
       WHEN len(list_filter(authorized_locations, lambda x: trim(x) = '')) > 0 THEN 'authorized_locations contains an invalid location id.' WHEN NOT has_hash THEN 'Missing password_hash.' WHEN NOT has_salt THEN 'Missing salt.' WHEN NOT has_iterations THEN 'Missing iterations.' ELSE 'User record is valid.' END AS reason,
       CASE WHEN has_hash AND has_salt AND has_iterations THEN 'hashed' ELSE 'plaintext' END AS account_type FROM u) SELECT *, reason = 'User record is valid.' AS passed FROM a"""),
-    "user_locations": Query(lambda t: access.visible_locations(access.normalized(t("users_raw").filter("seq % 9 > 2")), t("locations")), ctes("users_raw", "locations") + f", {USERS}, n AS (SELECT * FROM named WHERE seq % 9 > 2) SELECT username, id AS location_id FROM n JOIN locations ON role = 'master' OR list_contains(authorized_locations, id)"),
-    "assigned_location_labels": Query(lambda t: access.location_labels(access.normalized(t("users_raw").filter("seq % 9 > 2")), t("locations")), ctes("users_raw", "locations") + f", {USERS}, n AS (SELECT * FROM named WHERE seq % 9 > 2), e AS (SELECT username, role, unnest(authorized_locations) AS loc, generate_subscripts(authorized_locations, 1) AS pos FROM n), l AS (SELECT username, string_agg(coalesce(name, concat('Unknown location (', loc, ')')), ', ' ORDER BY pos) AS label FROM e LEFT JOIN locations ON loc = id GROUP BY 1) SELECT n.username, CASE WHEN role = 'master' THEN 'All Locations' ELSE coalesce(label, 'None') END AS label FROM n LEFT JOIN l ON l.username = n.username"),
+    "user_locations": Query(lambda t: access.visible_locations(access.normalized(access.first_of_name(t("users_raw"))), t("locations")), ctes("users_raw", "locations") + f", {USERS}, n AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY lower(username) ORDER BY seq) = 1) SELECT username, id AS location_id FROM n JOIN locations ON role = 'master' OR list_contains(authorized_locations, id)"),
+    "assigned_location_labels": Query(lambda t: access.location_labels(access.normalized(access.first_of_name(t("users_raw"))), t("locations")), ctes("users_raw", "locations") + f", {USERS}, n AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY lower(username) ORDER BY seq) = 1), e AS (SELECT username, role, unnest(authorized_locations) AS loc, generate_subscripts(authorized_locations, 1) AS pos FROM n), l AS (SELECT username, string_agg(coalesce(name, concat('Unknown location (', loc, ')')), ', ' ORDER BY pos) AS label FROM e LEFT JOIN locations ON loc = id GROUP BY 1) SELECT n.username, CASE WHEN role = 'master' THEN 'All Locations' ELSE coalesce(label, 'None') END AS label FROM n LEFT JOIN l ON l.username = n.username"),
     "account_counts": Query(lambda t: access.account_counts(access.normalized(t("users_raw")), t("locations")), ctes("users_raw", "locations") + f", {USERS} SELECT count(*) AS users, count(*) FILTER (role = 'master') AS masters, count(*) FILTER (role = 'staff') AS staff, (SELECT count(*) FROM locations) AS locations FROM named"),
 }
 

@@ -104,7 +104,7 @@ def stream_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     made = logs.latest(fixture(spark, sf_dir, "prediction_logs")).select("location_id", "service_date", F.to_timestamp("service_date").alias("predicted_at"), "predicted_visitors")
     came = fixture(spark, sf_dir, "attendance").select("location_id", "service_date", (F.to_timestamp("service_date") + F.expr("interval 2 days")).alias("arrived_at"), "visitors")
-    joined = jobs.matched_actuals(_stream(made.coalesce(1), f"{folder}/made"), _stream(came.coalesce(1), f"{folder}/came"), "20000 days")
+    joined = jobs.matched_actuals(_stream(made, f"{folder}/made"), _stream(came, f"{folder}/came"), "20000 days")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
