@@ -286,7 +286,8 @@ def linear_classifier(features: np.ndarray, target: np.ndarray, l2: float = 1e-4
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> Model:
     """Find voters, weigh them by the label model and train the classifier on its posteriors."""
     gold, docs = gold_labels(labels), documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    voters = _lexicon(texts_for_python(docs.join(gold, "doc_id"), "text", "toxic"), max_voters // 2)
+    taught = _eligible(docs).join(gold.hint("merge"), "doc_id")  # the same plan at every size: how many labels there are isn't bounded
+    voters = _lexicon(texts_for_python(taught, "text", "toxic"), max_voters // 2)
     if voters is None:
         return Model([], np.zeros(len(SHAPES)), -30.0)
     index, n_voters = {v: i for i, v in enumerate(voters)}, len(voters) + len(SHAPES)
