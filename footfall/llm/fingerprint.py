@@ -200,12 +200,14 @@ def with_next(documents: DataFrame, id_col: str, text_col: str, rows_per_range:
     rows = docs.select("doc_id").count()
     n_cuts = max(1, min(max_cuts, rows // rows_per_range))
     cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n_cuts for i in range(n_cuts)], 0.25 / n_cuts)}) or [0]
-    ranged = docs.withColumn("range", id_ranges(F.col("doc_id"), cuts, max(1, rows // (rows_per_range * max_cuts)))).repartition("range")
-    inside = ranged.withColumn("__next", F.lead("text").over(Window.partitionBy("range").orderBy("doc_id", "text")))
-    heads = ranged.groupBy("range").agg(F.min("doc_id").alias("__id")).withColumn("__many", F.floor(F.col("range") / RANGES_TOGETHER))  # a row for each range
-    many = heads.groupBy("__many").agg(F.max("range").alias("__last"))  # a row for each ``RANGES_TOGETHER`` ranges
+    ranged = docs.withColumn("range", id_ranges(F.col("doc_id"), cuts, max(1, rows // (rows_per_range * max_cuts))))
+    line = Window.partitionBy("range").orderBy("doc_id", "text")
+    inside = ranged.withColumn("__next", F.lead("text").over(line))
+    ranges = ranged.groupBy("range").agg(F.lit(1)).select("range", F.floor(F.col("range") / RANGES_TOGETHER).alias("__many"))  # a row for each range
+    many = ranges.groupBy("__many").agg(F.max("range").alias("__last"))  # a row for each ``RANGES_TOGETHER`` ranges
     in_order = Window.orderBy("__many")
     many = many.select("__many", F.coalesce(F.lag("__last").over(in_order), F.max("__last").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__far"))
-    heads = heads.withColumn("__near", F.lag("range").over(Window.partitionBy("__many").orderBy("range"))).join(many, "__many").select("range", "__id", F.coalesce("__near", "__far").alias("before"))
-    firsts = ranged.join(heads, "range").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("before").agg(F.min("text").alias("__first"))
+    order = ranges.withColumn("__near", F.lag("range").over(Window.partitionBy("__many").orderBy("range"))).join(many, "__many").select("range", F.coalesce("__near", "__far").alias("before"))
+    heads = ranged.withColumn("__at", F.row_number().over(line)).filter(F.col("__at") == 1)  # Spark keeps one row for each range and task before it shuffles these
+    firsts = heads.join(order, "range").select("before", F.col("text").alias("__first"))
     return inside.join(firsts, F.col("range") == F.col("before")).select("doc_id", "text", F.coalesce("__next", "__first").alias("next_text"))
