@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, counts, decontam, fingerprint, lattice, packing, sharding, simhash, tokenfile, tokens, toxicity
+from footfall.llm import chat, counts, decontam, divergence, fingerprint, langid, lattice, packing, sharding, simhash, tokenfile, tokens, toxicity, trie
 from footfall.llm.common import read_table, shared_dir
 
 
@@ -107,8 +107,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of every source of every language: all its peers, and its 200 most telling terms."""
+    out = divergence.divergence(read_table(spark, sf_dir, "documents"))
+    return out.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from two thirds of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return langid.predictions(docs, ~F.col("held_out"), keep=("held_out",))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all conversations, rebuilt with the first turns of every twentieth."""
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    nodes = trie.trie(trie.with_shared_heads(read_table(spark, sf_dir, "conversations"), 20, head, 3))
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files, op8_lattice_scores, op9_token_counts, op10_sharding)}
+    registered = (
+        op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_chat_formatting, op6_toxicity, op7_token_files,
+        op8_lattice_scores, op9_token_counts, op10_sharding, op11_source_divergence, op12_language_id, op13_conversation_trie,
+    )
+    return {f.__name__: f for f in registered}
 
 
 _CUTS = r"list_transform(string_split({0}, chr(10)), lambda p: string_split(regexp_replace(p, '([n.,;:!?|)][ \t\r\f\x0B]+)', '\1' || chr(1), 'g'), chr(1)))"
@@ -174,5 +198,38 @@ p AS (SELECT *, {_shard_sql(40)} AS shard, {_shard_sql(41)} AS grown_shard FROM
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 6))::BIGINT % 64, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM p"""
 
 
+_SHARE = "(1 + (1000000000::HUGEINT * ({0} + 1)) // ({1} + {2}))"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+l AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+t AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN l USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(x.total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN t USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) AS x USING (lang, source) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, {_SHARE.format('coalesce(c.n, 0)', 'g.total', 'g.v')} AS p, {_SHARE.format('l.n', 't.total', 'g.v')} AS q
+  FROM g JOIN l USING (lang) JOIN t USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM f AS a JOIN f AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM f WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (SELECT list(b ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS b FROM (SELECT unnest(range(0, 256))::BIGINT AS n))),
+a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, role, sha256(length(role) || ':' || role || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM a),
+o AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, role, id) AS ids, list(words ORDER BY turn NULLS FIRST, role, id) AS words FROM i GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 4 AS h FROM o, bits),
+r AS (SELECT x.conv_id, coalesce(b.ids[1:h], []) || x.ids[h + 1:] AS ids, coalesce(b.words[1:h], []) || x.words[h + 1:] AS words FROM h AS x LEFT JOIN o AS b ON b.conv_id = x.conv_id - x.conv_id % 20),
+k AS (SELECT conv_id, d, len(ids) = d AS ends, sha256(array_to_string(ids[1:d], '')) AS key, CASE WHEN d > 0 THEN sha256(array_to_string(ids[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM r)),
+n AS (SELECT d, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends FROM k GROUP BY d, key),
+c AS (SELECT up AS key, d - 1 AS d, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN c USING (key, d)),
+s AS (SELECT k.key, k.d, count(*) FILTER (m.children = 0) AS leaves, sum((m.n - 1) * m.words) AS saved FROM m JOIN k ON k.conv_id = m.conv_id AND k.d <= m.d GROUP BY k.key, k.d)
+SELECT m.conv_id, m.d::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n::BIGINT AS n_convs, m.children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN s USING (key, d) LEFT JOIN n AS p ON p.key = m.up AND p.d = m.d - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_document_fingerprints": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op10_sharding": OP10_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op13_conversation_trie": OP13_SQL, "op2_document_fingerprints": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op10_sharding": OP10_SQL}
