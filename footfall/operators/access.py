@@ -26,6 +26,7 @@ def duplicate_usernames(users: DataFrame) -> DataFrame:
 def audit(users: DataFrame) -> DataFrame:
     """username, passed, reason, account_type; the first rule that a record breaks is the reason."""
     role, ids = F.col("role"), F.col("authorized_locations")
+    # fixed values: the rules' texts
     rules = [
         (stripped(F.coalesce("username", F.lit(""))) == "", "Username is empty."),
         (~F.coalesce(role.isin("master", "staff"), F.lit(False)), "Role must be master or staff."),
@@ -46,6 +47,23 @@ def audit(users: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("reason") == "User record is valid.")
 
 
+#: Fixed value: the reason for a name that no record has.
+NO_SUCH_NAME = "Username does not exist."
+
+
+def audit_names(names: DataFrame, users: DataFrame) -> DataFrame:
+    """username, passed, reason, account_type for each asked-for name (``username``): the audit of the first record (by ``seq``) of that name.
+
+    A blank name fails as such; a name without a record has no account type. Asked-for names stay as they are, one row each.
+    """
+    asked = names.select(F.col("username").alias("__asked"), username_key(F.coalesce("username", F.lit(""))).alias("__key"))
+    known = audit(first_of_name(users)).withColumn("__key", username_key(F.col("username"))).drop("username")
+    blank = F.col("__key") == ""
+    reason = F.when(blank, F.lit("Username is empty.")).when(F.col("reason").isNull(), NO_SUCH_NAME).otherwise(F.col("reason"))
+    found = asked.join(known, "__key", "left").withColumn("reason", reason)
+    return found.select(F.col("__asked").alias("username"), "reason", F.when(~blank, F.col("account_type")).alias("account_type"), (F.col("reason") == "User record is valid.").alias("passed"))
+
+
 def visible_locations(users: DataFrame, locations: DataFrame) -> DataFrame:
     """username, location_id for every location a (normalised) user sees; unknown ids drop out.
 

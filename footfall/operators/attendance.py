@@ -17,14 +17,15 @@ def load(table: DataFrame, location_id: str | None = None) -> DataFrame:
     return rows.select(*KEY, F.coalesce(number_or_null(F.col("visitors")), F.lit(0)).cast("int").alias("visitors"))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Raw rows (with ``seq``, their order) to one valid row for each key.
-
-    Dates and numbers that can't be read and counts below 0 after rounding (half to even) are
-    dropped first; then the last row of each key stays.
-    """
+def readable(raw: DataFrame) -> DataFrame:
+    """Raw rows (with ``seq``, their order) as they can be read: without dates and numbers that can't, and counts below 0 after rounding (half to even)."""
     day, count = day_of(F.col("service_date").cast("string")), F.rint(number_or_null(F.col("visitors")))
-    valid = raw.select("location_id", day.alias("service_date"), count.alias("visitors"), "seq").filter(F.col("service_date").isNotNull() & (F.col("visitors") >= 0))
+    return raw.select("location_id", day.alias("service_date"), count.alias("visitors"), "seq").filter(F.col("service_date").isNotNull() & (F.col("visitors") >= 0))
+
+
+def normalize(raw: DataFrame) -> DataFrame:
+    """``readable`` rows, the last of each key."""
+    valid = readable(raw)
     # the last of a key by an aggregate: combined before the shuffle, so that a hot key is no large group
     return valid.groupBy(*KEY).agg(F.max_by("visitors", "seq").cast("int").alias("visitors"))
 

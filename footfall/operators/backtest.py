@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.config import MIN_TRAIN_ROWS, QUANTILE
+from footfall.operators.prefix import with_running_quantiles
 
 SCOPES = ("overall", "sat", "sun")
 #: Fixed value: what a zero actual is divided by, the spacing of doubles at 1.
@@ -26,8 +27,7 @@ def folds(frame: DataFrame, min_train_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
 
 def expanding_quantile(frame: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Add pred_q: the linear quantile of all earlier targets of the segment."""
-    before = Window.partitionBy("location_id", "segment").orderBy("service_date").rowsBetween(Window.unboundedPreceding, -1)
-    return frame.withColumn("pred_q", F.percentile("visitors", F.lit(quantile)).over(before))
+    return with_running_quantiles(frame, ["location_id", "segment"], "service_date", {"pred_q": ("visitors", quantile)})
 
 
 def naive_backtest(frame: DataFrame, min_train_rows: int = MIN_TRAIN_ROWS, quantile: float = QUANTILE) -> DataFrame:
@@ -46,12 +46,12 @@ def _metrics() -> list:
         F.avg(F.abs(error) / F.greatest(F.abs("actual"), F.lit(EPSILON))).alias("MAPE"),
         F.avg(error).alias("Bias"),
         F.percentile("abs_error", F.lit(0.9)).alias("P90AbsError"),
-        F.count(F.lit(1)).alias("BacktestRows"),
+        F.count("pred").alias("BacktestRows"),
     ]
 
 
 def metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """Error metrics of each group."""
+    """Error metrics of each group, over the rows that have a prediction."""
     return predictions.groupBy(*by).agg(*_metrics())
 
 
@@ -70,6 +70,15 @@ def metrics_json(scoped: DataFrame) -> DataFrame:
     return scoped.groupBy("location_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("metrics"))
 
 
+METRICS = "map<string, struct<MAE: double, RMSE: double, MAPE: double, Bias: double, P90AbsError: double, BacktestRows: long>>"
+
+
+def metrics_of_json(documents: DataFrame) -> DataFrame:
+    """``metrics_json`` read back: a row for each location and scope. Text that is no such object gives none."""
+    scopes = documents.select("location_id", F.explode(F.from_json("metrics", METRICS)).alias("scope", "values"))
+    return scopes.select("location_id", "scope", "values.*")
+
+
 def residual_buffer(predictions: DataFrame, spine: DataFrame, quantile: float = 0.8) -> DataFrame:
     """By location and segment of ``spine``: the quantile of what was not foreseen, 0 without predictions."""
     short = F.greatest(F.col("actual") - F.col("pred"), F.lit(0.0))

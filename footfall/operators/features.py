@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from footfall.config import feature_names
 from footfall.functions.calendar import with_calendar
+from footfall.operators.prefix import with_running_quantiles
 from footfall.operators.weather import join_attendance
 
 LONGEST_LAG = 3
@@ -46,22 +47,34 @@ def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.median(c).over(whole)) for c in columns})
 
 
-def training_frame(attendance: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+def impute_from_before(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fill nulls with the median of the location's rows before, so that no row sees what came later; null where none had a value."""
+    wanted = {f"__{c}": (c, 0.5) for c in columns}
+    known = with_running_quantiles(df.withColumns({c: F.col(c).cast("double") for c in columns}), ["location_id"], "service_date", wanted)
+    return known.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*wanted)
+
+
+#: How ``training_frame`` fills gaps: from the whole history, or only from what came before a row.
+IMPUTATIONS = {"whole": impute, "prefix": impute_from_before}
+
+
+def training_frame(attendance: DataFrame, weather: DataFrame | None = None, imputation: str = "whole") -> DataFrame:
     """location_id, service_date, visitors, slot and the features as doubles.
 
-    Locations with fewer than four rows end up empty: their third lag has no median.
+    Locations with fewer than four rows end up empty: their third lag has no median. With ``imputation``
+    "prefix" a backtest sees nothing later than its fold; a location's first three rows then have no third lag and go.
     """
     columns = feature_names(weather is not None)
     frame = with_lags(with_calendar(attendance.select("location_id", "service_date", "visitors")))
     if weather is not None:
         frame = join_attendance(frame, weather)
-    filled = impute(frame, columns)
+    filled = IMPUTATIONS[imputation](frame, columns)
     finite = filled.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in columns})
     return finite.dropna(subset=["visitors", "lag1", "lag2", "lag3"]).select("location_id", "service_date", "visitors", "slot", *columns)
 
 
 def target_features(history: DataFrame, targets: DataFrame) -> DataFrame:
-    """Calendar and lag features of target dates that lie after all of their location's history.
+    """Calendar and lag features of target dates that lie after all of their location's history (for others see ``target_features_as_of``).
 
     ``targets`` has one row for each location. Only the last rows that a window can see go into
     the windows: three of each location, day type and slot.
@@ -76,6 +89,27 @@ def target_features(history: DataFrame, targets: DataFrame) -> DataFrame:
     return with_lags(with_calendar(near.unionByName(future))).filter("is_target").drop("is_target")
 
 
+def target_features_as_of(history: DataFrame, targets: DataFrame) -> DataFrame:
+    """Calendar and lag features of any dates, past ones too, from the history strictly before each; any number of targets a location.
+
+    History and targets are merged by date, a day's targets before its history, and each row carries the last
+    three values of its location, day type and slot, which targets have none of. Equal targets give equal rows.
+    """
+    rows = history.select("location_id", "service_date", "visitors", F.lit(1).alias("__past"))
+    rows = rows.unionByName(targets.select("location_id", "service_date", F.lit(None).cast("int").alias("visitors"), F.lit(0).alias("__past")))
+    out = with_calendar(rows).repartition("location_id")
+    for name, keys in {"": "location_id", "daytype": "location_id, is_sun", "slot": "location_id, slot_num"}.items():
+        line = f"OVER (PARTITION BY {keys} ORDER BY service_date, __past)"
+        out = out.withColumns({f"__{k}": F.expr(f"lag(visitors, {k}) IGNORE NULLS {line}") for k in range(1, LONGEST_LAG + 1)})
+        last = [F.col(f"__{k}") for k in range(1, LONGEST_LAG + 1)]
+        mean = (last[0] + last[1] + last[2]) / F.lit(3.0)
+        spread = F.sqrt(sum((v - mean) * (v - mean) for v in last) / F.lit(2.0))
+        tail = f"_{name}_3" if name else "_3"
+        lags = {f"lag_same_{name}_1": last[0]} if name else {f"lag{k}": F.col(f"__{k}") for k in range(1, LONGEST_LAG + 1)}
+        out = out.withColumns(lags | {f"rolling_mean{tail}": mean, f"rolling_std{tail}": spread}).drop(*(f"__{k}" for k in range(1, LONGEST_LAG + 1)))
+    return out.filter("__past = 0").drop("__past")
+
+
 def fill_targets(targets: DataFrame, history: DataFrame, columns: list[str]) -> DataFrame:
     """Fill what the targets lack with the medians of the location's training frame, else with 0."""
     medians = history.groupBy("location_id").agg(*(F.median(c).alias(f"__{c}") for c in columns))

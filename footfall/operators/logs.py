@@ -18,15 +18,15 @@ PREDICTED = (
 
 
 def _newest(logs: DataFrame) -> DataFrame:
-    """The newest row of each key in full, with __first: the newest actual there is.
+    """The newest row of each key in full, with __first, the newest actual there is, and __n, how many rows the key has.
 
     Aggregates instead of a window: a key predicted many times is combined before the shuffle.
     """
     row = F.struct(*[c for c in logs.columns if c not in KEY])
     order = F.struct("prediction_created_at", "id")
     known = F.when(F.col("actual_visitors").isNotNull(), order)
-    newest = logs.groupBy(*KEY).agg(F.max_by(row, order).alias("__row"), F.max_by("actual_visitors", known).alias("__first"))
-    return newest.select(*KEY, "__row.*", "__first").select(*logs.columns, "__first")
+    newest = logs.groupBy(*KEY).agg(F.max_by(row, order).alias("__row"), F.max_by("actual_visitors", known).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    return newest.select(*KEY, "__row.*", "__first", "__n").select(*logs.columns, "__first", "__n")
 
 
 def dedupe(logs: DataFrame) -> DataFrame:
@@ -34,16 +34,14 @@ def dedupe(logs: DataFrame) -> DataFrame:
     out = _newest(logs)
     error = F.when(F.col("__first").isNotNull(), absolute_error(F.col("__first"), F.col("predicted_visitors"))).otherwise(F.col("absolute_error"))
     # a key that has only one row is left as it is stored
-    many = logs.groupBy(*KEY).agg((F.count(F.lit(1)) > 1).alias("__many"))
-    out = out.join(many, KEY)
-    return out.withColumns({"absolute_error": F.when(F.col("__many"), error).otherwise(F.col("absolute_error")), "actual_visitors": F.coalesce("__first", "actual_visitors")}).drop("__first", "__many")
+    return out.withColumns({"absolute_error": F.when(F.col("__n") > 1, error).otherwise(F.col("absolute_error")), "actual_visitors": F.coalesce("__first", "actual_visitors")}).drop("__first", "__n")
 
 
 def latest(logs: DataFrame) -> DataFrame:
     """Newest row of each key as it is read: only if it has no actual, the newest known one and its error are filled in."""
     out, lacks = _newest(logs), F.col("actual_visitors").isNull()
     filled = {"absolute_error": F.when(lacks, absolute_error(F.col("__first"), F.col("predicted_visitors"))).otherwise(F.col("absolute_error")), "actual_visitors": F.coalesce("actual_visitors", "__first")}
-    return out.withColumns(filled).drop("__first")
+    return out.withColumns(filled).drop("__first", "__n")
 
 
 def newest_first(logs: DataFrame, limit: int) -> DataFrame:
@@ -56,9 +54,7 @@ def match_actuals(logs: DataFrame, attendance: DataFrame) -> DataFrame:
 
     ``matched`` counts the logs of the key that got an actual, duplicates included.
     """
-    newest = _newest(logs).drop("__first")
-    counts = logs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
-    found = newest.join(counts, KEY).join(attendance.select(*KEY, F.col("visitors").alias("__actual")), KEY, "left")
+    found = _newest(logs).drop("__first").join(attendance.select(*KEY, F.col("visitors").alias("__actual")), KEY, "left")
     hit, meals = F.col("__actual").isNotNull(), F.col("suggested_meals")
     new = {
         "actual_visitors": F.coalesce("__actual", "actual_visitors"),

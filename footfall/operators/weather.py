@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.config import OBSERVATION_HOURS, WEATHER_FEATURES
+from footfall.config import DEFAULT_TIMEZONE, OBSERVATION_HOURS, WEATHER_FEATURES
 
 #: Daily feature and the hourly measure it is the mean of.
 MEANS = {"temp_10_13": "temperature_2m", "apparent_temp_10_13": "apparent_temperature", "humidity_10_13": "relative_humidity_2m", "wind_10_13": "wind_speed_10m"}
@@ -16,6 +16,17 @@ def in_window(hourly: DataFrame) -> DataFrame:
     return hourly.filter(F.hour("time").between(*OBSERVATION_HOURS))
 
 
+def in_site_time(hourly: DataFrame, locations: DataFrame) -> DataFrame:
+    """Hourly weather whose times are UTC, by the wall clock of each location (``id``, ``timezone``); others take the default zone.
+
+    A day on which clocks change has 23 or 25 hours; the hour that comes twice is two rows of one time.
+    """
+    zones = locations.select(F.col("id").alias("location_id"), F.col("timezone").alias("__zone")).distinct()
+    utc = F.col("time").cast("timestamp_ntz").cast("timestamp")
+    joined = hourly.join(zones, "location_id", "left")
+    return joined.withColumn("time", F.from_utc_timestamp(utc, F.coalesce("__zone", F.lit(DEFAULT_TIMEZONE))).cast("timestamp_ntz")).drop("__zone")
+
+
 def measures() -> list:
     """Aggregates of a day: means of four measures, the sum of precipitation (0 if it has none)."""
     return [*(F.avg(c).alias(name) for name, c in MEANS.items()), F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("precip_10_13")]

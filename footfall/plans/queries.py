@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from footfall.functions import calendar as cal
 from footfall.functions import values as val
-from footfall.operators import access, attendance, backtest, features, locations, logs, runs, schedule, weather
+from footfall.operators import access, attendance, backtest, features, locations, logs, models, runs, schedule, weather
 from footfall.plans import workloads
 from footfall.plans.fixtures import ctes, fixture
+from footfall.sources import bucketed
 
 
 @dataclass
@@ -100,6 +101,82 @@ TARGETS = "targets AS (SELECT location_id, CASE isodow(max(service_date)) WHEN 6
 TARGET_FRAME = f"cal AS ({CALENDAR} FROM (SELECT location_id, service_date, visitors, false AS is_target FROM attendance UNION ALL SELECT location_id, service_date, NULL, true FROM targets)), lagged AS ({LAGS} FROM cal {W})"
 
 
+def _any_targets(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Dates of all kinds, past ones and weekdays too, some twice, and each location's next."""
+    days = t("weather_daily").select("location_id", F.col("date").alias("service_date"))
+    return days.filter(F.dayofmonth("service_date") % 10 == 3).unionByName(days.filter(F.dayofmonth("service_date") == 13)).unionByName(_targets(t))
+
+
+ANY_TARGETS = "anyday AS (SELECT location_id, date AS service_date FROM weather_daily WHERE day(date) % 10 = 3 UNION ALL SELECT location_id, date FROM weather_daily WHERE day(date) = 13 UNION ALL SELECT * FROM targets)"
+
+
+def _before(name: str, same: str) -> str:
+    """The last three values before each wanted day, of the rows that agree in ``same``."""
+    return f"""{name} AS (SELECT location_id, service_date, max(CASE WHEN n = 1 THEN visitors END) AS v1, max(CASE WHEN n = 2 THEN visitors END) AS v2, max(CASE WHEN n = 3 THEN visitors END) AS v3,
+      CASE WHEN count(*) = 3 THEN avg(visitors) END AS mean, CASE WHEN count(*) = 3 THEN stddev_samp(visitors) END AS std
+      FROM (SELECT w.location_id, w.service_date, h.visitors, row_number() OVER (PARTITION BY w.location_id, w.service_date ORDER BY h.service_date DESC) AS n FROM (SELECT DISTINCT * FROM wanted) w JOIN past h ON h.location_id = w.location_id AND h.service_date < w.service_date{same}) WHERE n <= 3 GROUP BY 1, 2)"""
+
+
+AS_OF = f"""past AS ({CALENDAR} FROM (SELECT location_id, service_date, visitors FROM attendance)), wanted AS ({CALENDAR} FROM anyday), {_before('b', '')}, {_before('d', ' AND h.is_sun = w.is_sun')}, {_before('s', ' AND h.slot_num = w.slot_num')}"""
+AS_OF_COLUMNS = "b.v1 AS lag1, b.v2 AS lag2, b.v3 AS lag3, b.mean AS rolling_mean_3, b.std AS rolling_std_3, d.v1 AS lag_same_daytype_1, d.mean AS rolling_mean_daytype_3, d.std AS rolling_std_daytype_3, s.v1 AS lag_same_slot_1, s.mean AS rolling_mean_slot_3, s.std AS rolling_std_slot_3"
+ROLLING = tuple(f"rolling_{k}{s}_3" for k in ("mean", "std") for s in ("", "_daytype", "_slot"))
+
+
+def _packs(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Stand-ins for models: of the segments that have over 140 rows."""
+    sizes = backtest.with_segment(cal.with_calendar(t("attendance"))).groupBy("location_id", "segment").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("location_id", "segment", F.when(F.col("n") > 140, F.lit("model").cast("binary")).alias("point_model"))
+
+
+PREFIX = FRAME + ", imputed AS (SELECT location_id, service_date, visitors, slot, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), median({c}) OVER (PARTITION BY location_id ORDER BY service_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS {c}" for c in FEATURES) + " FROM joined)"
+STATE = """s AS (SELECT location_id, count(*) AS n, concat(substr(CAST(max(updated_at) AS VARCHAR), 1, 10), 'T00:00:00+00:00') AS now FROM attendance GROUP BY 1)"""
+RETRAIN = STATE + """,
+      r AS (SELECT location_id, latest_attendance_updated_at AS old FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, id DESC) AS n FROM training_runs WHERE status = 'success') WHERE n = 1),
+      j AS (SELECT s.location_id, n, now, CASE WHEN n < 300 THEN concat('Only ', n, ' attendance rows; need at least 300.') WHEN try_cast(now AS TIMESTAMPTZ) <= try_cast(old AS TIMESTAMPTZ) OR (now <> '' AND now = old) THEN 'Attendance has not changed since the last successful training run.' END AS reason FROM s LEFT JOIN r ON s.location_id = r.location_id)"""
+
+
+def _state(t: Callable[[str], DataFrame]) -> DataFrame:
+    return attendance.state(t("attendance")).withColumn("latest_updated_at", F.concat(F.substring(F.col("latest_updated_at").cast("string"), 1, 10), F.lit("T00:00:00+00:00")))
+
+
+def _run_ledger(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Runs of one night, with the folds of a backtest as results; some folds of the locations that end in 7 fail."""
+    state = _state(t)
+    begun = runs.started(runs.plan(state, t("training_runs"), 300), state, F.lit("2024-01-06 02:00:00"))
+    folds = backtest.naive_backtest(features.with_lags(cal.with_calendar(t("attendance"))))
+    results = folds.select("location_id", F.when(F.col("location_id").like("%7") & (F.col("fold") % 10 == 0), F.concat(F.lit("fold "), F.col("fold").cast("string"))).alias("error_message"))
+    ended = runs.finished(begun, results, F.lit("2024-01-06 03:00:00"))
+    return runs.current(begun.unionByName(ended)).drop("id", "metrics")
+
+
+def _bucketed(t: Callable[[str], DataFrame]) -> DataFrame:
+    """The table in buckets, after a change set and the replacement of some locations."""
+    spark = t("attendance").sparkSession
+    root = f"{workloads.shared_folder(spark)}/table"
+
+    def changed(current: DataFrame | None, changes: DataFrame) -> DataFrame:
+        return changes if current is None else attendance.upsert(current, changes)
+
+    chosen = _some_locations(t)
+    incoming = _incoming(t).join(chosen, "location_id", "left_semi")
+    bucketed.merge(t("attendance"), root, "location_id", changed)
+    bucketed.merge(_changes(t), root, "location_id", changed)
+    bucketed.merge(incoming, root, "location_id", lambda current, new: attendance.replace(current, new, chosen), touched=chosen)
+    return bucketed.read(spark, root)
+
+
+def _site_weather(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Hourly weather as UTC, in the spring and the autumn in which clocks change, to days of the sites' own time."""
+    utc = t("weather_hourly")
+    both = [utc.withColumn("time", F.col("time") + F.make_dt_interval(F.lit(d))) for d in (65, 290)]
+    zone = F.when(F.col("id").isin("loc_1", "loc_3"), "Europe/Berlin").when(F.col("id") == "loc_2", "Asia/Tokyo")
+    return weather.daily(weather.in_site_time(both[0].unionByName(both[1]), t("locations").select("id", zone.alias("timezone"))))
+
+
+SITE_WEATHER = """hours AS (SELECT * REPLACE (time + INTERVAL 65 DAY AS time) FROM weather_hourly UNION ALL SELECT * REPLACE (time + INTERVAL 290 DAY AS time) FROM weather_hourly),
+  own AS (SELECT * REPLACE ((time AT TIME ZONE 'UTC') AT TIME ZONE CASE WHEN location_id IN ('loc_1', 'loc_3') THEN 'Europe/Berlin' WHEN location_id = 'loc_2' THEN 'Asia/Tokyo' ELSE 'America/New_York' END AS time) FROM hours)"""
+
+
 def _meals(logs_: DataFrame) -> Column:
     return val.suggested_meals(F.col("predicted_visitors"), F.when(F.col("id") % 4 > 0, F.col("predicted_quantile")), F.col("residual_buffer"), F.when(F.col("id") % 3 > 0, F.col("meal_buffer_pct") * 2))
 
@@ -161,7 +238,47 @@ QUERIES: dict[str, Query] = {
     "training_frame": Query(lambda t: features.training_frame(t("attendance"), t("weather_daily")), ctes("attendance", "weather_daily") + f", {IMPUTED} SELECT * FROM imputed WHERE visitors IS NOT NULL AND lag1 IS NOT NULL AND lag2 IS NOT NULL AND lag3 IS NOT NULL", DAY, tuple(FEATURES)),
     "target_features": Query(lambda t: features.target_features(t("attendance"), _targets(t)), ctes("attendance") + f", {TARGETS}, {TARGET_FRAME} SELECT * EXCLUDE is_target FROM lagged WHERE is_target", DAY, ("month_sin", "month_cos", *(f"rolling_{k}{s}_3" for k in ("mean", "std") for s in ("", "_daytype", "_slot")))),
     "target_weather_fallback": Query(lambda t: weather.for_targets(_targets(t).unionByName(t("attendance").select("location_id", "service_date")), t("weather_daily").filter(F.dayofmonth("date") % 2 == 0), t("weather_daily")), ctes("attendance", "weather_daily") + f", {TARGETS}, m AS (SELECT location_id, {', '.join(f'median({c}) AS {c}' for c in weather.WEATHER_FEATURES)} FROM weather_daily GROUP BY 1), w AS (SELECT * FROM weather_daily WHERE day(date) % 2 = 0), x AS (SELECT * FROM targets UNION ALL SELECT location_id, service_date FROM attendance) SELECT x.location_id, x.service_date, {', '.join(f'coalesce(w.{c}, m.{c}, 0) AS {c}' for c in weather.WEATHER_FEATURES[:-1])}, coalesce(w.precip_10_13, CASE WHEN w.date IS NULL THEN 0 END, m.precip_10_13, 0) AS precip_10_13 FROM x LEFT JOIN w ON x.location_id = w.location_id AND x.service_date = w.date LEFT JOIN m ON x.location_id = m.location_id", DAY, weather.WEATHER_FEATURES),
+    "features_imputed_prefix": Query(
+        lambda t: features.training_frame(t("attendance"), t("weather_daily"), "prefix"),
+        ctes("attendance", "weather_daily") + f", {PREFIX} SELECT * FROM imputed WHERE visitors IS NOT NULL AND lag1 IS NOT NULL AND lag2 IS NOT NULL AND lag3 IS NOT NULL",
+        DAY,
+        tuple(FEATURES),
+    ),
+    "target_features_as_of": Query(
+        lambda t: features.target_features_as_of(t("attendance"), _any_targets(t)),
+        ctes("attendance", "weather_daily") + f", {TARGETS}, {ANY_TARGETS}, {AS_OF} SELECT w.*, CAST(NULL AS INT) AS visitors, {AS_OF_COLUMNS} FROM wanted w LEFT JOIN b USING (location_id, service_date) LEFT JOIN d USING (location_id, service_date) LEFT JOIN s USING (location_id, service_date)",
+        DAY,
+        ("month_sin", "month_cos", *ROLLING),
+    ),
+    "target_verdicts": Query(
+        lambda t: models.judged(_any_targets(t), _packs(t)),
+        ctes("attendance", "weather_daily")
+        + f""", {TARGETS}, {ANY_TARGETS}, p AS (SELECT location_id, CASE WHEN isodow(service_date) = 7 THEN 'sun' ELSE 'sat' END AS segment FROM attendance GROUP BY 1, 2 HAVING count(*) > 140),
+          x AS (SELECT *, CASE isodow(service_date) WHEN 6 THEN 'sat' WHEN 7 THEN 'sun' END AS segment FROM anyday)
+          SELECT x.location_id, x.segment, service_date, CASE WHEN x.segment IS NULL THEN 'target_date must be Saturday or Sunday' WHEN p.segment IS NULL THEN concat('No trained model for segment: ', x.segment) END AS reason FROM x LEFT JOIN p ON p.location_id = x.location_id AND p.segment = x.segment""",
+        DAY,
+    ),
+    "weather_daily_local": Query(
+        _site_weather,
+        ctes("weather_hourly")
+        + f", {SITE_WEATHER} SELECT location_id, CAST(time AS DATE) AS date, avg(temperature_2m) AS temp_10_13, avg(apparent_temperature) AS apparent_temp_10_13, avg(relative_humidity_2m) AS humidity_10_13, avg(wind_speed_10m) AS wind_10_13, coalesce(sum(precipitation), 0) AS precip_10_13 FROM own WHERE hour(time) BETWEEN 10 AND 13 GROUP BY 1, 2",
+        ("date",),
+        weather.WEATHER_FEATURES,
+    ),
+    "attendance_bucketed": Query(
+        _bucketed,
+        ctes("attendance")
+        + f", {CHANGES}, {SOME}, u AS (SELECT * FROM changes UNION ALL SELECT * FROM attendance a WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.location_id = a.location_id AND c.service_date = a.service_date)) SELECT * FROM u WHERE location_id NOT IN (SELECT location_id FROM chosen) UNION ALL SELECT * FROM changes WHERE location_id IN (SELECT location_id FROM chosen) AND location_id <> 'loc_3'",
+        ATTENDANCE_TEXTS,
+    ),
     # backtests
+    "metrics_read_back": Query(
+        lambda t: backtest.metrics_of_json(backtest.metrics_json(backtest.metrics_by_scope(backtest.naive_backtest(features.with_lags(cal.with_calendar(t("attendance")))), t("locations").select(F.col("id").alias("location_id"))))),
+        ctes("attendance", "locations")
+        + f", {NAIVE}, m AS (SELECT location_id, coalesce(segment, 'overall') AS scope, {METRICS} FROM naive GROUP BY GROUPING SETS ((location_id), (location_id, segment))) SELECT l.id AS location_id, s.scope, MAE, RMSE, MAPE, Bias, P90AbsError, coalesce(BacktestRows, 0) AS BacktestRows FROM locations l CROSS JOIN (SELECT unnest(['overall', 'sat', 'sun']) AS scope) s LEFT JOIN m ON m.location_id = l.id AND m.scope = s.scope",
+        (),
+        METRIC_COLUMNS,
+    ),
     "backtest_folds": Query(lambda t: backtest.folds(backtest.with_segment(cal.with_calendar(t("attendance")))).select("location_id", "segment", "service_date", "fold", "train_rows"), ctes("attendance") + f", {NAIVE} SELECT location_id, segment, service_date, fold, train_rows FROM naive", DAY),
     "expanding_quantile": Query(lambda t: backtest.expanding_quantile(backtest.with_segment(cal.with_calendar(t("attendance")))).select("location_id", "segment", "service_date", "pred_q"), ctes("attendance") + f", {NAIVE} SELECT location_id, segment, service_date, pred_q FROM num", DAY, ("pred_q",)),
     "naive_backtest": Query(lambda t: backtest.naive_backtest(features.with_lags(cal.with_calendar(t("attendance")))), ctes("attendance") + f", {NAIVE} SELECT * FROM naive", DAY, ("actual", "pred", "pred_q", "abs_error")),
@@ -191,7 +308,25 @@ QUERIES: dict[str, Query] = {
       r AS (SELECT location_id, latest_attendance_updated_at AS old FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, id DESC) AS n FROM training_runs WHERE status = 'success') WHERE n = 1),
       j AS (SELECT s.location_id, CASE WHEN n < 300 THEN concat('Only ', n, ' attendance rows; need at least 300.') WHEN try_cast(now AS TIMESTAMPTZ) <= try_cast(old AS TIMESTAMPTZ) OR (now <> '' AND now = old) THEN 'Attendance has not changed since the last successful training run.' END AS reason FROM s LEFT JOIN r ON s.location_id = r.location_id)
       SELECT location_id, CASE WHEN reason IS NULL THEN 'train' ELSE 'skip' END AS action, reason FROM j"""),
+    "run_ledger": Query(
+        _run_ledger,
+        ctes("attendance", "training_runs")
+        + f""", {RETRAIN}, {NAIVE}, e AS (SELECT location_id, CASE WHEN location_id LIKE '%7' AND fold % 10 = 0 THEN concat('fold ', fold) END AS error FROM naive),
+          f AS (SELECT location_id, min(error) AS error, count(error) AS errors, count(*) AS results FROM e GROUP BY 1)
+          SELECT j.location_id, CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN coalesce(errors, 1) > 0 THEN 'failed' ELSE 'success' END AS status, '2024-01-06 02:00:00' AS started_at, CASE WHEN reason IS NULL THEN '2024-01-06 03:00:00' END AS finished_at, n AS attendance_rows, now AS latest_attendance_updated_at,
+          CASE WHEN reason IS NOT NULL THEN reason WHEN results IS NULL THEN 'Backtest has no rows. Reduce min_train_size or provide more data.' WHEN errors > 0 THEN concat(error, ' (', errors, ' of ', results, ' fits)') END AS error_message FROM j LEFT JOIN f ON f.location_id = j.location_id""",
+        ("started_at", "finished_at"),
+    ),
     # users
+    "user_look_up": Query(
+        lambda t: access.audit_names(t("users_raw").select(F.when(F.col("seq") % 10 == 0, F.concat("username", F.lit("?"))).otherwise(F.upper("username")).alias("username")), t("users_raw")),
+        ctes("users_raw")
+        + f""", k AS (SELECT CASE WHEN seq % 10 = 0 THEN concat(username, '?') ELSE upper(username) END AS username FROM users_raw), n AS (SELECT *, lower({STRIP.format('username')}) AS key FROM users_raw QUALIFY row_number() OVER (PARTITION BY lower({STRIP.format('username')}) ORDER BY seq) = 1),
+          a AS (SELECT key, CASE WHEN role NOT IN ('master', 'staff') THEN 'Role must be master or staff.' WHEN authorized_locations IS NULL THEN 'authorized_locations must be a list.' WHEN role = 'master' AND authorized_locations <> ['*'] THEN 'Master accounts must use authorized_locations [''*''].'
+            WHEN role = 'staff' AND len(authorized_locations) = 0 THEN 'Staff account has no authorized locations.' WHEN role = 'staff' AND list_contains(authorized_locations, '*') THEN 'Wildcard ''*'' is only valid for master accounts.' WHEN len(list_filter(authorized_locations, lambda x: trim(x) = '')) > 0 THEN 'authorized_locations contains an invalid location id.'
+            WHEN NOT has_hash THEN 'Missing password_hash.' WHEN NOT has_salt THEN 'Missing salt.' WHEN NOT has_iterations THEN 'Missing iterations.' ELSE 'User record is valid.' END AS reason, CASE WHEN has_hash AND has_salt AND has_iterations THEN 'hashed' ELSE 'plaintext' END AS account_type FROM n WHERE key <> ''),
+          f AS (SELECT k.username, CASE WHEN {STRIP.format('k.username')} = '' THEN 'Username is empty.' ELSE coalesce(reason, 'Username does not exist.') END AS reason, account_type FROM k LEFT JOIN a ON a.key = lower({STRIP.format('k.username')})) SELECT *, reason = 'User record is valid.' AS passed FROM f""",
+    ),
     "user_normalized": Query(lambda t: access.normalized(t("users_raw")).withColumn("authorized_locations", F.array_join("authorized_locations", ",")), ctes("users_raw") + f", {USERS} SELECT username, role, array_to_string(authorized_locations, ',') AS authorized_locations FROM named"),
     "duplicate_usernames": Query(lambda t: access.duplicate_usernames(t("users_raw")), ctes("users_raw") + f" SELECT lower({STRIP.format('username')}) AS username_key, count(*) AS records FROM users_raw GROUP BY 1 HAVING count(*) > 1"),
     "user_audit": Query(lambda t: access.audit(t("users_raw").withColumn("role", F.when(F.col("seq") % 4 == 0, F.col("role")).otherwise(val.role_of(F.col("role"))))), ctes("users_raw") + f""", u AS (SELECT * REPLACE (CASE WHEN seq % 4 = 0 THEN role ELSE {ROLE} END AS role) FROM users_raw), a AS (SELECT username, CASE WHEN {STRIP.format('username')} = '' THEN 'Username is empty.' WHEN role NOT IN ('master', 'staff') THEN 'Role must be master or staff.' WHEN authorized_locations IS NULL THEN 'authorized_locations must be a list.'

@@ -12,7 +12,7 @@ from footfall.config import feature_names
 from footfall.functions.calendar import next_service_date, with_calendar
 from footfall.operators import attendance, backtest, features, logs, models, weather
 from footfall.plans.fixtures import fixture, text
-from footfall.sources.files import read_version
+from footfall.sources import bucketed
 from footfall.streaming import jobs
 
 FEATURES = feature_names(True)
@@ -20,8 +20,8 @@ FEATURES = feature_names(True)
 REFIT_EVERY = 26
 
 
-def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.training_frame(fixture(spark, sf_dir, "attendance"), fixture(spark, sf_dir, "weather_daily"))
+def training_frame(spark: SparkSession, sf_dir: str, imputation: str = "whole") -> DataFrame:
+    return features.training_frame(fixture(spark, sf_dir, "attendance"), fixture(spark, sf_dir, "weather_daily"), imputation)
 
 
 def model_backtest(spark: SparkSession, sf_dir: str, refit_every: int = REFIT_EVERY) -> DataFrame:
@@ -51,10 +51,10 @@ def next_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = features.fill_targets(weather.for_targets(features.target_features(history, targets), daily, daily), frame, FEATURES)
     lags = features.with_lags(with_calendar(history.select("location_id", "service_date", "visitors")))
     buffers = backtest.residual_buffer(backtest.naive_backtest(lags), lags.select("location_id", F.explode(F.array(F.lit("sat"), F.lit("sun"))).alias("segment")).distinct())
-    return models.recommend(models.score(ready, packs, FEATURES), buffers)
+    return models.recommend(models.accepted(models.score(ready, packs, FEATURES)), buffers)
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -70,24 +70,34 @@ def _stream(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(folder)
 
 
+def _sliced(df: DataFrame, folder: str, slices: list[int]) -> DataFrame:
+    """A table as a file stream of one micro-batch for each slice (column ``slice``), in turn."""
+    for s in slices:
+        df.filter(F.col("slice") == s).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    plain = df.drop("slice")
+    return df.sparkSession.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def stream_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows as a feed of changes, merged batch by batch into the current table."""
-    raw, folder = fixture(spark, sf_dir, "attendance_raw"), _folder(spark)
-    changes = raw.filter(F.col("visitors").rlike("^[0-9]+$")).select("location_id", F.to_date("service_date").alias("service_date"), F.col("visitors").cast("int").alias("visitors"), F.timestamp_seconds(F.col("seq")).alias("updated_at"))
-    jobs.attendance_feed(_stream(changes, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_version(spark, f"{folder}/table").select("location_id", F.col("service_date").cast("string").alias("service_date"), "visitors")
+    """Raw rows, whatever is in them, as a feed of changes, merged batch by batch into the buckets of the current table."""
+    raw, folder = fixture(spark, sf_dir, "attendance_raw"), shared_folder(spark)
+    read = attendance.readable(_stream(raw, f"{folder}/in"))
+    changes = read.select("location_id", "service_date", F.col("visitors").cast("int").alias("visitors"), F.timestamp_seconds(F.col("seq")).alias("updated_at"))
+    jobs.attendance_feed(changes, f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return bucketed.read(spark, f"{folder}/table").select("location_id", F.col("service_date").cast("string").alias("service_date"), "visitors")
 
 
 def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction logs as a feed, merged into one log for each key."""
-    rows, folder = fixture(spark, sf_dir, "prediction_logs"), _folder(spark)
+    """Prediction logs as a feed, kept as state by key and merged into one log for each key."""
+    rows, folder = fixture(spark, sf_dir, "prediction_logs"), shared_folder(spark)
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("prediction_created_at", "created_at", "updated_at")})
     jobs.log_feed(_stream(rows, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_version(spark, f"{folder}/table").select("location_id", F.col("service_date").cast("string").alias("service_date"), "id", "predicted_visitors")
+    return bucketed.read(spark, f"{folder}/table").select("location_id", F.col("service_date").cast("string").alias("service_date"), "id", "predicted_visitors", "actual_visitors")
 
 
 def stream_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather as a stream, to daily weather."""
-    hourly, folder = fixture(spark, sf_dir, "weather_hourly"), _folder(spark)
+    hourly, folder = fixture(spark, sf_dir, "weather_hourly"), shared_folder(spark)
     daily = jobs.daily_weather(_stream(hourly.withColumn("time", F.col("time").cast("timestamp")), f"{folder}/in"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -99,19 +109,41 @@ def stream_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("location_id", F.col("date").cast("string").alias("date"), *(F.round(c, 6).alias(c) for c in weather.WEATHER_FEATURES))
 
 
-def stream_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions joined with the actuals that arrive within two weeks, as streams; those matched."""
-    folder = _folder(spark)
-    made = logs.latest(fixture(spark, sf_dir, "prediction_logs")).select("location_id", "service_date", F.to_timestamp("service_date").alias("predicted_at"), "predicted_visitors")
-    came = fixture(spark, sf_dir, "attendance").select("location_id", "service_date", (F.to_timestamp("service_date") + F.expr("interval 2 days")).alias("arrived_at"), "visitors")
-    joined = jobs.matched_actuals(_stream(made, f"{folder}/made"), _stream(came, f"{folder}/came"), "20000 days")
+def late_actuals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Predictions with the actuals that came within two weeks, as streams, and how many actuals came after the watermark.
+
+    Two years are a micro-batch. Of every seven days of a month, one day's actuals are made 20 days late, and one day's of the first two
+    years are delivered three batches after their time, when their predictions have been given out without them. A last batch
+    of one row in either stream, which no result has, carries the watermark past everything.
+    """
+    folder, end = shared_folder(spark), F.lit("2100-01-01 00:00:00").cast("timestamp")
+    day, kind = F.to_timestamp("service_date"), F.dayofmonth("service_date") % 7
+    made = logs.latest(fixture(spark, sf_dir, "prediction_logs")).select("location_id", "service_date", day.alias("predicted_at"), "predicted_visitors")
+    delay = F.when(kind == 5, 20).when(kind == 6, 2).otherwise(kind + 1)
+    came = fixture(spark, sf_dir, "attendance").select("location_id", "service_date", (day + F.make_dt_interval(delay)).alias("arrived_at"), "visitors", kind.alias("kind"))
+
+    def in_slices(rows: DataFrame, time: str, held_back) -> DataFrame:
+        own = F.greatest(F.floor((F.year(time) - 1995) / 2).cast("int"), F.lit(0))
+        last = rows.sparkSession.range(1).select(*(end.alias(c) if c == time else F.lit("").alias(c) if c == "location_id" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+        return rows.withColumn("slice", own + F.when(held_back & (own < 1), 3).otherwise(0)).unionByName(last.withColumn("slice", F.lit(4)))
+
+    slices = list(range(5))
+    left = _sliced(in_slices(made, "predicted_at", F.lit(False)), f"{folder}/made", slices)
+    right = _sliced(in_slices(came, "arrived_at", F.col("kind") == 6).drop("kind"), f"{folder}/came", slices)
+    joined = jobs.matched_actuals(left, right, "14 days")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    joined.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out").filter(F.col("actual_visitors").isNotNull())
-    return rows.select("location_id", F.col("service_date").cast("string").alias("service_date"), "actual_visitors")
+    query = joined.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out").filter(F.col("location_id") != "")
+    return rows.select("location_id", F.col("service_date").cast("string").alias("service_date"), "actual_visitors"), jobs.rows_too_late(query)
+
+
+def stream_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prediction with its actual, if that came in time."""
+    return late_actuals(spark, sf_dir)[0]
 
 
 def queries() -> dict:
@@ -123,8 +155,11 @@ def oracle_sql() -> dict[str, str]:
     raw, hourly, made, came = (text(n, "duckdb") for n in ("attendance_raw", "weather_hourly", "prediction_logs", "attendance"))
     means = "avg(temperature_2m) AS temp_10_13, avg(apparent_temperature) AS apparent_temp_10_13, avg(relative_humidity_2m) AS humidity_10_13, avg(wind_speed_10m) AS wind_10_13, coalesce(sum(precipitation), 0) AS precip_10_13"
     return {
-        "stream_attendance": f"WITH r AS ({raw}) SELECT location_id, service_date, CAST(arg_max(visitors, struct_pack(s := seq, v := CAST(visitors AS INT))) AS INT) AS visitors FROM r WHERE regexp_matches(visitors, '^[0-9]+$') GROUP BY 1, 2",
-        "stream_logs": f"WITH p AS ({made}) SELECT location_id, CAST(service_date AS VARCHAR) AS service_date, id, predicted_visitors FROM (SELECT *, row_number() OVER (PARTITION BY location_id, service_date ORDER BY prediction_created_at DESC, id DESC) AS n FROM p) WHERE n = 1",
+        "stream_attendance": f"""WITH r AS ({raw}), v AS (SELECT location_id, try_cast(service_date AS DATE) AS service_date, round_even(try_cast(visitors AS DOUBLE), 0) AS visitors, seq FROM r)
+            SELECT location_id, CAST(service_date AS VARCHAR) AS service_date, CAST(arg_max(visitors, seq) AS INT) AS visitors FROM v WHERE service_date IS NOT NULL AND visitors >= 0 GROUP BY 1, 2""",
+        "stream_logs": f"""WITH p AS ({made}), n AS (SELECT *, row_number() OVER k AS n, first(actual_visitors IGNORE NULLS) OVER (PARTITION BY location_id, service_date ORDER BY prediction_created_at DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f
+            FROM p WINDOW k AS (PARTITION BY location_id, service_date ORDER BY prediction_created_at DESC, id DESC)) SELECT location_id, CAST(service_date AS VARCHAR) AS service_date, id, predicted_visitors, coalesce(actual_visitors, f) AS actual_visitors FROM n WHERE n = 1""",
         "stream_weather": f"WITH h AS ({hourly}), d AS (SELECT location_id, CAST(CAST(time AS DATE) AS VARCHAR) AS date, {means} FROM h WHERE hour(time) BETWEEN 10 AND 13 GROUP BY 1, 2) SELECT location_id, date, {', '.join(f'round({c}, 6) AS {c}' for c in weather.WEATHER_FEATURES)} FROM d",
-        "stream_actuals": f"WITH p AS ({made}), a AS ({came}), k AS (SELECT DISTINCT location_id, service_date FROM p) SELECT location_id, CAST(service_date AS VARCHAR) AS service_date, visitors AS actual_visitors FROM a SEMI JOIN k USING (location_id, service_date)",
+        "stream_actuals": f"""WITH p AS ({made}), a AS ({came}), k AS (SELECT DISTINCT location_id, service_date FROM p), t AS (SELECT * FROM a WHERE day(service_date) % 7 <> 5 AND NOT (day(service_date) % 7 = 6 AND year(service_date + 2) < 1997))
+            SELECT location_id, CAST(k.service_date AS VARCHAR) AS service_date, visitors AS actual_visitors FROM k LEFT JOIN t USING (location_id, service_date)""",
     }

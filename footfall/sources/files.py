@@ -65,8 +65,19 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Backtest predictions by location and segment; all of a location are the unfiltered read."""
-    predictions.write.partitionBy("location_id", "segment").parquet(path)
+    """Backtest predictions by location and segment, those of a folder in one file by date; all of a location are the unfiltered read."""
+    ordered = predictions.repartition("location_id", "segment").sortWithinPartitions("location_id", "segment", "service_date")
+    ordered.write.partitionBy("location_id", "segment").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_metrics`` wrote: location_id, metrics."""
+    return spark.read.schema("value string, location_id string").text(path).select("location_id", F.col("value").alias("metrics"))
+
+
+def write_attendance(attendance: DataFrame, path: str) -> None:
+    """A table of attendance by location, each in order of its dates."""
+    attendance.repartition("location_id").sortWithinPartitions("location_id", "service_date").write.partitionBy("location_id").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from footfall.operators import attendance, logs
 from footfall.operators.weather import in_window, measures
-from footfall.sources.files import read_version, write_version
-
-
-def _current(spark, root: str) -> DataFrame | None:
-    try:
-        return read_version(spark, root)
-    except AnalysisException:
-        return None
+from footfall.sources import bucketed
 
 
 def merge_attendance(current: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -34,10 +26,10 @@ def merge_logs(current: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def _merging(merge, root: str):
-    """A foreachBatch function. A batch that is run again after a failure changes nothing: merging is idempotent."""
+    """A foreachBatch function: only touched buckets are rewritten, and a batch that is run again after a failure is known by its number."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write_version(merge(_current(batch.sparkSession, root), batch), root)
+        bucketed.merge(batch, root, "location_id", merge, str(batch_id))
 
     return apply
 
@@ -47,9 +39,27 @@ def attendance_feed(changes: DataFrame, root: str, checkpoint: str) -> DataStrea
     return changes.writeStream.foreachBatch(_merging(merge_attendance, root)).option("checkpointLocation", checkpoint)
 
 
-def log_feed(predictions: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Prediction logs into the table of one log for each key under ``root``."""
-    return predictions.writeStream.foreachBatch(_merging(merge_logs, root)).option("checkpointLocation", checkpoint)
+#: How long a key's state stays after the newest service date seen.
+KEPT_FOR = "3650 days"
+
+
+def current_logs(predictions: DataFrame, late: str = KEPT_FOR) -> DataFrame:
+    """One log for each (location_id, service_date) from a stream of predictions, as state that is kept for each key.
+
+    The state is the newest log and the newest known actual with its place in the order; a key that got new logs is given out once a
+    batch, as ``logs.latest`` reads it. A key's state goes when its service date is ``late`` behind the newest date seen; logs of such
+    dates that come after that are dropped, as the watermark says, and counted by ``rows_too_late``.
+    """
+    dated = predictions.withColumn("service_date", F.col("service_date").cast("timestamp")).withWatermark("service_date", late)
+    return logs.latest(dated).withColumn("service_date", F.col("service_date").cast("date"))
+
+
+def log_feed(predictions: DataFrame, root: str, checkpoint: str, late: str = KEPT_FOR) -> DataStreamWriter:
+    """Prediction logs into the table of one log for each key under ``root``.
+
+    What the state gives out is merged by key, so the table keeps the logs whose state has gone.
+    """
+    return current_logs(predictions, late).writeStream.outputMode("update").foreachBatch(_merging(merge_logs, root)).option("checkpointLocation", checkpoint)
 
 
 def matched_actuals(predictions: DataFrame, actuals: DataFrame, late: str = "14 days") -> DataFrame:
@@ -64,6 +74,11 @@ def matched_actuals(predictions: DataFrame, actuals: DataFrame, late: str = "14
     return left.join(right, same, "left_outer").select("p.location_id", "p.service_date", "p.predicted_at", "p.predicted_visitors", F.col("a.visitors").alias("actual_visitors"))
 
 
+def rows_too_late(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators dropped because the watermark had passed them, in the batches that it still reports."""
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
+
+
 def daily_weather(hourly: DataFrame, late: str = "1 day") -> DataFrame:
     """Daily weather of the service window from an hourly stream; a day is complete when the watermark has passed it."""
     days = in_window(hourly).withWatermark("time", late).groupBy("location_id", F.window("time", "1 day")).agg(*measures())
