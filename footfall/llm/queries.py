@@ -180,11 +180,10 @@ c AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c"""
 
 
-def _shard_sql(n_shards: int) -> str:
-    """The shard of the least draw: five shards in a rack, two racks in a region, six hexadecimal digits for each draw."""
-    digest = "md5(k || '/g' || (s // 10) || '/r' || (s // 5 % 2) || '/0')"
-    u = f"(('0x' || substr({digest}, 6 * (s % 5) + 1, 6))::BIGINT + 1.0::DOUBLE) / {float(16**6 + 1)}::DOUBLE"
-    return f"list_sort(list_transform(range(0, {n_shards}), lambda s: {{'d': -ln({u}), 's': s}}))[1].s::INT"
+def _least_sql(name: str, weights: list[float]) -> str:
+    """The least draw below a node, and which of at most five children it is: six hexadecimal digits of one digest for each."""
+    u = f"(('0x' || substr(md5(k || {name} || '0'), 6 * (i - 1) + 1, 6))::BIGINT + 1.0::DOUBLE) / {float(16**6 + 1)}::DOUBLE"
+    return f"list_sort(list_transform({[f'{w}' for w in weights]}::DOUBLE[], lambda w, i: {{'draw': -ln({u}) / w, 'at': i - 1}}))[1]"
 
 
 OP10_SQL = f"""
@@ -194,8 +193,12 @@ s AS (
   SELECT row, doc_id, k, (octet_length(encode(text)) + 16)::BIGINT AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32
   FROM d, bits),
-p AS (SELECT *, {_shard_sql(40)} AS shard, {_shard_sql(41)} AS grown_shard FROM s)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 6))::BIGINT % 64, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM p"""
+g AS (SELECT *, {_least_sql("'/'", [10.0] * 4)} AS region, {_least_sql("'/more/'", [1.0])} AS more FROM s),
+r AS (SELECT *, {_least_sql("'/' || region.at || '/'", [5.0] * 2)} AS rack FROM g),
+l AS (SELECT *, {_least_sql("'/' || region.at || '/' || rack.at || '/'", [1.0] * 5)} AS place FROM r),
+p AS (SELECT *, (10 * region.at + 5 * rack.at + place.at)::INT AS shard FROM l)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 6))::BIGINT % 64, doc_id, text_crc32, size) - 1)::BIGINT AS slot,
+  CASE WHEN more.draw < region.draw THEN 40 ELSE shard END::INT AS grown_shard FROM p"""
 
 
 _SHARE = "(1 + (1000000000::HUGEINT * ({0} + 1)) // ({1} + {2}))"

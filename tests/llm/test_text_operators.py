@@ -169,18 +169,56 @@ def test_shards_move_only_into_the_new_one(spark):
 def test_rows_move_into_the_grown_shard_only(spark):
     ids = spark.range(4000)
     for n in (1, 5, 12, 39, 41):
-        both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", [1.0] * n), F.col("id"), "b", [1.0] * (n + 1))
+        both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", [1.0] * n), F.col("id"), "b", [1.0] * n, added=[(n, 1.0)])
         changed = both.filter("a <> b").collect()
         assert {r["b"] for r in changed} == {n} and 0.7 < len(changed) * (n + 1) / 4000 < 1.3
-    was, now = [1.0, 2.0, 1.0, 4.0] * 3, [1.0, 2.0, 1.0, 4.0] * 3
-    now[6] = 3.0
-    both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", was, 3, 2), F.col("id"), "b", now, 3, 2)
+        # and again, after several have been added, one of them more for an old shard
+        grown = [(n, 1.0), (0, 2.0), (n + 1, 0.5)]
+        last = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", [1.0] * n, added=grown), F.col("id"), "b", [1.0] * n, added=[*grown, (n + 2, 1.0)])
+        assert {r["b"] for r in last.filter("a <> b").collect()} == {n + 2}
+    was = [1.0, 2.0, 1.0, 4.0] * 3
+    both = sharding.with_shard(sharding.with_shard(ids, F.col("id"), "a", was, 3, 2), F.col("id"), "b", was, 3, 2, [(6, 2.0)])
     moved = both.filter("a <> b").collect()
     assert moved and {r["b"] for r in moved} == {6}
     sizes = Counter(r["a"] for r in both.collect())
     assert all(abs(sizes[s] - 4000 * w / 24) < 0.25 * 4000 * w / 24 + 20 for s, w in enumerate(was))
 
 
+def test_a_weight_that_shrinks_moves_rows_out_of_its_own_subtree_only(spark):
+    was = [1.0] * 12  # racks of two, regions of three racks: 0-5 and 6-11
+    less = [*was[:3], 0.25, *was[4:]]
+    both = sharding.with_shard(sharding.with_shard(spark.range(4000), F.col("id"), "a", was, 3, 2), F.col("id"), "b", less, 3, 2).filter("a <> b").collect()
+    assert both and {r["a"] // 6 for r in both} == {0}  # nothing leaves the other region
+    inside = [r for r in both if r["b"] < 6]
+    assert inside and all(r["a"] in (2, 3) for r in inside)  # within the region only rows of its rack move
+
+
+def test_only_children_of_the_winning_nodes_are_drawn(spark):
+    """The draws of a document, done again in Python: regions, the racks of one, the shards of one."""
+    import hashlib
+
+    def least(key, name, weights):
+        digests = "".join(hashlib.md5(f"{key}{name}{k}".encode()).hexdigest()[:30] for k in range(-(-len(weights) // 5)))
+        drawn = [(-math.log((int(digests[6 * i : 6 * i + 6], 16) + 1) / (16**6 + 1)) / w, i) for i, w in enumerate(weights)]
+        return (*min(drawn), len(drawn))
+
+    weights, added = [1.0 + s % 3 for s in range(73)], [(73, 1.0), (5, 2.0)]
+    nodes = sharding.tree(73, 3, 4)
+    got = {r["id"]: r["shard"] for r in sharding.with_shard(spark.range(500), F.col("id"), "shard", weights, 3, 4, added).collect()}
+    for key, shard in got.items():
+        draw, g, drawn = least(key, "/", [sum(weights[s] for rack in region for s in rack) for region in nodes])
+        more, m, n = least(key, "/more/", [w for _, w in added])
+        _, r, in_region = least(key, f"/{g}/", [sum(weights[s] for s in rack) for rack in nodes[g]])
+        _, s, in_rack = least(key, f"/{g}/{r}/", [weights[s] for s in nodes[g][r]])
+        assert shard == (added[m][0] if more < draw else nodes[g][r][s])
+        assert drawn + n + in_region + in_rack <= len(nodes) + len(added) + 3 + 4 < 73 / 3
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x")], "id long, key string, region int, shard string")
+    assert sharding.with_shard(df, F.col("id"), "shard", [1.0] * 3).columns == ["id", "key", "region", "shard"]
+
+
 def test_shards_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), (1, "y"), (1, "y"), (1, "z")], "doc_id long, text string")
     got = sharding.shard_documents(df, 3).collect()
@@ -206,7 +244,7 @@ def brute_overlaps(docs, items, least=1):
             if len(b) < least:
                 continue
             size = min(len(b), 20)
-            need = size if size < 10 else math.ceil(0.8 * size)
+            need = math.ceil(0.8 * size)
             for shift in range(-len(b) + 1, len(w)):
                 same = [0 <= shift + k < len(w) and w[shift + k] == b[k] for k in range(len(b))]
                 if any(sum(same[s : s + size]) >= need for s in range(len(b) - size + 1)):
@@ -244,12 +282,72 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_masks_find_every_window():
-    assert all("0" in m for m in decontam.MASKS) and [len(m) for m in decontam.SHORT_MASKS] == list(range(1, len(decontam.MASKS[0])))
     from itertools import combinations
 
-    for size, wrong in ((10, 2), (15, 3), (20, 4)):
+    assert all("0" in m for m in decontam.MASKS)
+    for size in range(1, 21):
+        masks = [m for m, (a, b) in decontam.SHORT_MASKS.items() if a <= size <= b] or list(decontam.MASKS)
+        wrong = size - math.ceil(0.8 * size)
+        assert wrong == size // decontam.DIFFERS
         for lost in combinations(range(size), wrong):
-            assert any(all(c == "0" or at + k not in lost for k, c in enumerate(m)) for m in decontam.MASKS for at in range(size - len(m) + 1))
+            assert any(all(c == "0" or at + k not in lost for k, c in enumerate(m)) for m in masks for at in range(size - len(m) + 1))
+
+
+def test_items_of_five_words_and_more_tolerate_a_substitution(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 13)]
+    docs = [(100 * n + k, " ".join(["before", *(w if i != k else "other" for i, w in enumerate(t.split())), "after"])) for n, t in items for k in range(n)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(df, bench).collect()}
+    assert got == {(100 * n + k, n) for n in range(5, 13) for k in range(n)} == brute_overlaps(docs, items)
+
+
+@pytest.mark.parametrize("common", [0, 1, 4])
+def test_common_keys_lose_no_overlap(spark, common):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    phrase = rng.choices(vocabulary, k=9)
+    items = [(j, " ".join([*rng.choices(vocabulary, k=rng.choice([0, 3, 8])), *phrase[: rng.choice([4, 9])], *rng.choices(vocabulary, k=rng.choice([0, 2, 6, 15]))])) for j in range(40)]
+    docs = []
+    for i in range(120):
+        text = items[rng.randrange(40)][1].split()
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=5), *text, *phrase])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1_000_000, 300):
+        got = decontam.overlaps(df, bench, block_keys=block, common=common).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == brute_overlaps(docs, items) and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
+
+
+def test_a_shared_preamble_makes_no_pairs(spark, monkeypatch):
+    """Documents and items with one phrase in common and nothing else: no candidate is verified."""
+    phrase = " ".join(f"p{k}" for k in range(10))
+    n = 300
+    df = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"d{i}x{k}" for k in range(15))) for i in range(n)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"b{i}x{k}" for k in range(15))) for i in range(n)], "item_id long, text string")
+    out = decontam.overlaps(df, bench)
+    seen = []
+    real = type(out).distinct
+
+    def counted(self):
+        if "beside" in self.columns:
+            seen.append(self.count())
+        return real(self)
+
+    monkeypatch.setattr(type(out), "distinct", counted)
+    assert decontam.overlaps(df, bench).count() == 0 and seen == [0]
+    found = decontam.overlaps(df.unionByName(bench.select(F.col("item_id").alias("doc_id"), "text").filter("item_id = 7")), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(7, 7)]
+
+
+def test_long_texts_are_searched_whole_and_columns_stay(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    text = " ".join(f"t{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, f"{text} {item}", 5, "r"), (2, text, 6, "s"), (3, None, 7, "t")], "doc_id long, text string, row_number int, kept string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start"]) for r in decontam.overlaps(df, bench).collect()] == [(1, 9, 200_000)]
+    left = decontam.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["row_number"], r["kept"]) for r in left.collect()) == [(2, 6, "s"), (3, 7, "t")]
 
 
 def test_sharding_sql_knows_crc32():
