@@ -50,13 +50,13 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The column of ``numbered``.
-ROW = "__row"
+#: The columns of ``numbered``: a number for each row, and the row.
+ROW, KEPT = "row_number", "kept"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a number of its own for each row in ``ROW``, written once so that every reader sees the same numbers."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """The rows of ``df``, each as one column, with a number of its own, written once so that every reader sees the same numbers."""
+    return materialize(df.select(F.monotonically_increasing_id().alias(ROW), F.struct(*df.columns).alias(KEPT)), name)
 
 
 #: Texts in an Arrow batch at most: batches of whole texts are held several times over, in the JVM and in Python.
