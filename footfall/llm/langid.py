@@ -170,15 +170,22 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, passe
 
 
 def fit_temperature(scores: np.ndarray, own: np.ndarray) -> float:
-    """What scores are to be divided by for the least log loss on rows kept back; 1 if there are none. The loss has one minimum in 1/T."""
-    if not len(own) or scores.shape[1] < 2:
+    """What scores are to be divided by for the least log loss on rows kept back; 1 if there are none. The loss has one minimum in 1/T.
+
+    With n rows the right class counts (n + 1) / (n + 2) and the others share the rest, or rows that are all right would make every score certain.
+    """
+    rows, classes = scores.shape
+    if not rows or classes < 2:
         return 1.0
+    wanted = np.full(scores.shape, 1 / ((rows + 2) * (classes - 1)))
+    wanted[np.arange(rows), own] = (rows + 1) / (rows + 2)
 
     def loss(log_t: float) -> float:
-        p = _softmax(scores / np.exp(log_t))
-        return -np.log(np.maximum(p[np.arange(len(own)), own], 1e-300)).mean()
+        s = scores / np.exp(log_t)
+        top = s.max(1, keepdims=True)
+        return ((np.log(np.exp(s - top).sum(1)) + top[:, 0]) - (wanted * s).sum(1)).mean()
 
-    low, high, part = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
+    low, high, part = np.log(0.01), np.log(100.0), (5**0.5 - 1) / 2
     while high - low > 1e-4:
         a, b = high - part * (high - low), low + part * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
