@@ -28,8 +28,8 @@ def segment(day: Column) -> Column:
 def nth_weekday(year: Column, month: Column, weekday: Column, nth: Column) -> Column:
     """The nth such weekday of the month, or null if the month has none."""
     first = F.make_date(year, month, F.lit(1))
-    day = F.date_add(first, ((weekday - F.weekday(first) + 7) % 7 + 7 * (nth - 1)).cast("int"))
-    return F.when((nth >= 1) & (F.month(day) == month) & (F.year(day) == year), day)
+    after = ((weekday - F.weekday(first) + 7) % 7 + 7 * (nth - 1)).cast("int")
+    return F.when((nth >= 1) & (after < F.dayofmonth(F.last_day(first))), F.date_add(first, after))
 
 
 def next_service_date(last: Column) -> Column:

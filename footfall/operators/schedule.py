@@ -23,9 +23,9 @@ def parse_grid(grid: DataFrame) -> DataFrame:
     rows = grid.filter(F.col("year").rlike("^[0-9]+$")).withColumn("__end", totals)
     rows = rows.filter(F.col("__end").isNull() | (F.col("row_idx") < F.col("__end")))
     rows = rows.withColumns({"__nth": slot_nth(F.col("slot")), "__weekday": slot_weekday(F.col("slot"))}).filter(F.col("__nth").isNotNull())
-    cells = rows.unpivot(["source_id", "year", "row_idx", "slot", "team", "__nth", "__weekday"], list(MONTHS), "__month", "__cell")
-    month = F.floor((F.instr(F.lit("".join(MONTHS)), F.col("__month")) + 2) / 3).cast("int")  # names of three letters
-    year = F.col("year").cast("int")
+    each = F.array(*[F.struct(F.lit(i + 1).alias("month"), F.col(m).alias("cell")) for i, m in enumerate(MONTHS)])
+    cells = rows.select("source_id", "year", "row_idx", "slot", "team", "__nth", "__weekday", F.inline(each).alias("__month", "__cell"))
+    month, year = F.col("__month"), F.col("year").cast("int")
     return cells.select(
         "source_id",
         nth_weekday(year, month, F.col("__weekday"), F.col("__nth")).alias("service_date"),

@@ -133,9 +133,21 @@ def _leaves(feature: np.ndarray, cut: np.ndarray, x: np.ndarray, depth: int) ->
     return node
 
 
+def _varying(x: np.ndarray) -> np.ndarray:
+    """The features that have more than one value: no other can split, such as the weekday within a segment."""
+    return np.flatnonzero((x != x[:1]).any(0))
+
+
+def _named(feature: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Numbers among ``live`` features to those among all; -1 stays."""
+    return np.where(feature >= 0, np.append(live, -1)[feature], -1)
+
+
 def fit_forest(x: np.ndarray, y: np.ndarray, seed: int, trees: int = 400, depth: int = 8, leaf: int = 2, by_value: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Bootstrap forest of variance-reducing trees. ``by_value`` are the ``sorted_rows`` of ``x``, where they are known."""
     by_value = sorted_rows(x) if by_value is None else by_value
+    live = _varying(x)
+    x, by_value = x[:, live], by_value[live]
     draws = np.random.default_rng(seed).integers(0, len(y), (trees, len(y)))
     weight = np.stack([np.bincount(d, minlength=len(y)) for d in draws])
     together, parts = max(1, ROWS_AT_ONCE // max(1, len(y))), []
@@ -145,7 +157,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, seed: int, trees: int = 400, depth:
         key = rows.tree * feature.shape[1] + node
         with np.errstate(invalid="ignore", divide="ignore"):
             value = np.bincount(key, rows.weight * y[rows.row], feature.size) / np.bincount(key, rows.weight, feature.size)
-        parts.append((feature, cut, _fill_down(value.reshape(feature.shape), float(y.mean()))))
+        parts.append((_named(feature, live), cut, _fill_down(value.reshape(feature.shape), float(y.mean()))))
     return _packed(*(np.concatenate(p) for p in zip(*parts, strict=True)), 0.0)
 
 
@@ -173,7 +185,8 @@ def fit_quantiles(x: np.ndarray, y: np.ndarray, sizes: list[int], quantile: floa
     start = np.array([np.quantile(y[:n], quantile) for n in sizes])
     if not sizes or max(sizes) < 2 * leaf:
         return [_packed(np.full((1, nodes), -1), np.zeros((1, nodes)), np.zeros((1, nodes)), float(q)) for q in start]
-    rows = Rows(x, np.arange(len(y)) < np.array(sizes)[:, None])
+    live = _varying(x)
+    rows = Rows(x[:, live], np.arange(len(y)) < np.array(sizes)[:, None])
     own, now = y[rows.row], start[rows.tree]
     features, cuts, values = [], [], []
     for _ in range(rounds):
@@ -181,7 +194,7 @@ def fit_quantiles(x: np.ndarray, y: np.ndarray, sizes: list[int], quantile: floa
         key = rows.tree * nodes + node
         value = rate * _quantiles(own - now, key, feature.size, quantile)
         now = now + value[key]
-        features.append(feature), cuts.append(cut), values.append(value.reshape(feature.shape))
+        features.append(_named(feature, live)), cuts.append(cut), values.append(value.reshape(feature.shape))
     parts = [np.stack(p, 1) for p in (features, cuts, values)] if rounds else [np.full((len(sizes), 1, nodes), -1), np.zeros((len(sizes), 1, nodes)), np.zeros((len(sizes), 1, nodes))]
     live = np.array(sizes) >= 2 * leaf
     return [_packed(parts[0][i], parts[1][i], parts[2][i] * live[i], float(start[i])) for i in range(len(sizes))]

@@ -14,7 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = [
     "attendance_normalized", "service_records_clean", "locations_normalized", "user_audit", "assigned_location_labels", "training_frame", "target_features",
     "target_weather_fallback", "backtest_metrics_scopes", "residual_buffer", "logs_deduped", "logs_with_actuals", "log_upsert", "monitoring_rollup", "retrain_plan",
-    "stream_attendance", "stream_weather",
+    "stream_attendance", "stream_weather", "stream_logs", "stream_actuals", "features_imputed_prefix", "target_features_as_of", "target_verdicts", "weather_daily_local",
+    "attendance_bucketed", "metrics_read_back", "run_ledger", "user_look_up", "expanding_quantile",
 ]
 
 
