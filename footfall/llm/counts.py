@@ -26,8 +26,8 @@ from footfall.llm.tokens import default_tokenizer, encoded, texts_to_encode
 #: Ids in a block, and those of a flat file: big-endian 16 bits, with an end of document
 #: that no vocabulary of fewer ids has. As text, those two bytes are the character U+07FF.
 BLOCK_IDS, ID_TYPE, END_ID = 1 << 18, ">u2", 0xDFBF
-#: Bytes after which a file is closed, so that it is a row that fits into memory when it is read; a longer document has one by itself.
-FILE_BYTES = 16 << 20
+#: Bytes that neither a flat file nor the list beside it exceeds, so that each is a row that fits into memory when it is read; a longer document has files by itself.
+FILE_BYTES = 64 << 20
 #: Folders of the two kinds of files.
 FLAT, NAMES = 0, 1
 
@@ -39,6 +39,7 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str | None = None, id
     for the ``id_type``. A task writes its own partition of ``documents``, as it comes; nothing is shuffled.
     """
     end = np.array([end_id], id_type).tobytes().decode()  # UnicodeDecodeError: choose another
+    end_bytes = len(end.encode())
     source = tokenizer or default_tokenizer()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +54,10 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str | None = None, id
             return pa.RecordBatch.from_arrays([*own, pa.array(np.arange(place - n, place)), values], ["kind", "piece", "place", "value"])
 
         for batch in encoded(batches, source, None, id_type, end_id):
-            ids = batch.column(2)
-            until = np.cumsum(np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]).astype(np.int64))
+            ids, own = batch.column(2), ["" if x is None else str(x) for x in batch.column(0).to_pylist()]
+            flat = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]).astype(np.int64) + end_bytes
+            # what a document takes of either file: its ids and their end, or its name and a comma
+            until = np.cumsum(np.maximum(flat, np.fromiter(map(len, own), np.int64, len(own)) + 1))
             a = 0
             while a < len(ids):
                 before = int(until[a - 1]) if a else 0
@@ -63,10 +66,11 @@ def write_flat(documents: DataFrame, path: str, tokenizer: str | None = None, id
                     b = a + 1
                 if b > a:
                     yield rows(FLAT, ids.slice(a, b - a))
-                    names += ["" if x is None else str(x) for x in batch.column(0).slice(a, b - a).to_pylist()]
+                    names += own[a:b]
                     held += int(until[b - 1]) - before
                 if b < len(ids):
-                    yield rows(NAMES, pa.array([",".join(names).encode()], pa.binary()))
+                    if names:
+                        yield rows(NAMES, pa.array([",".join(names).encode()], pa.binary()))
                     piece, held = piece + 1, 0
                     names.clear()
                 a = b

@@ -138,6 +138,18 @@ def test_counts_of_null_and_repeated_ids_and_of_nothing(spark, reference):
     assert counts.token_counts(spark, path + "-none").count() == 0
 
 
+def test_no_file_outgrows_its_bound(spark):
+    """Ends and names count too: empty documents with long ids are bytes as well."""
+    docs = table(spark, [""] * 2000 + ["a b c"] * 50, first=10**15).repartition(2)
+    path = f"{common.shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    counts.write_flat(docs, path, file_bytes=1000)
+    for kind in (counts.FLAT, counts.NAMES):
+        sizes = [r["n"] for r in counts._files(spark, path, kind).select(F.length("content").alias("n")).collect()]
+        assert len(sizes) > 30 and max(sizes) <= 1002  # and the end after a list of names
+    got = Counter(r["n_tokens"] for r in counts.token_counts(spark, path).collect())
+    assert sum(got.values()) == 2050 and got[0] == 2000
+
+
 def test_stitching_over_files_and_blocks(spark):
     rng = np.random.default_rng(2)
     stream = np.where(rng.random(400) < 0.06, 9, 1)
