@@ -134,7 +134,8 @@ def _burst(seqs: DataFrame, limit: int) -> tuple[DataFrame, list[tuple[DataFrame
     A container is known by ``head`` (a digest of the prefix that its sequences share), ``depth`` (the turns of it)
     and ``above`` (the head it hangs under, null for the root's).
     """
-    rest = seqs.withColumns({"head": F.lit(b""), "depth": F.lit(0), "above": F.lit(None).cast("binary")})
+    root = F.when(F.col("conv_id").isNotNull(), F.lit(b""))  # all rows', but no constant, which would leave joins by it without a key
+    rest = seqs.withColumns({"head": root, "depth": F.lit(0), "above": F.lit(None).cast("binary")})
     settled, heads, ended = [], [], []
     while True:
         large = rest.groupBy("head").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > limit).select("head")
