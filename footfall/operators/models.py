@@ -16,6 +16,8 @@ from footfall.operators.backtest import with_segment
 
 #: Folds that one group fits; a group has all the rows up to its last fold.
 BLOCK = 8
+#: Fits that a block has at least, where folds share them: the boosted trees of all its fits grow together.
+FITS = 4
 #: What a fit raises that must stop no other.
 FIT_ERRORS = (ValueError, FloatingPointError, ArithmeticError, IndexError, MemoryError)
 #: Why a target gets no prediction.
@@ -30,7 +32,7 @@ def backtest(frame: DataFrame, features: list[str], min_train_rows: int = MIN_TR
     fold is still predicted, by a model that is fitted anew at every so many of them. A block has whole runs of such folds, so results don't
     depend on it. A fold whose fit fails has no predictions and says why in error_message; it stops no other.
     """
-    block = -(-max(block, refit_every) // refit_every) * refit_every
+    block = -(-max(block, FITS * refit_every) // refit_every) * refit_every
     parts = parts or spread.parts_for(frame.sparkSession)
     line = Window.partitionBy("location_id", "segment").orderBy("service_date")
     rows = with_segment(frame).withColumns({"__at": F.row_number().over(line) - 1, "__n": F.count(F.lit(1)).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
