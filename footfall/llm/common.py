@@ -59,6 +59,20 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.select(F.monotonically_increasing_id().alias(ROW), F.struct(*df.columns).alias(KEPT)), name)
 
 
+#: Row numbers that ``without`` broadcasts at most: some hundred MB of memory.
+FEW_ROWS = 4_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``numbered`` rows as they were, but for those whose numbers (distinct, one column) are ``gone``.
+
+    Up to ``FEW_ROWS`` numbers go to the rows, whole texts are not shuffled for them; more are joined by a shuffle.
+    """
+    gone = materialize(gone.select(F.col(gone.columns[0]).alias("__gone")), name)
+    side = F.broadcast(gone) if gone.count() <= FEW_ROWS else gone
+    return rows.join(side, F.col(ROW) == F.col("__gone"), "left_anti").select(f"{KEPT}.*")
+
+
 #: Texts in an Arrow batch at most: batches of whole texts are held several times over, in the JVM and in Python.
 TEXTS_IN_BATCH = 1000
 

@@ -29,3 +29,16 @@ def test_rows_of_one_id_are_decontaminated_each(spark):
             df = spark.createDataFrame([(doc_id, t) for t in order], "doc_id long, text string").coalesce(1)
             assert [(r["doc_id"], r["item_id"], r["agreeing"]) for r in decontam.overlaps(df, bench).collect()] == [(doc_id, 7, 20)]
             assert rows_of(decontam.decontaminate(df, bench)) == [(doc_id, clean)]
+
+
+def test_few_and_many_rows_go_alike(spark, monkeypatch):
+    from footfall.llm import common
+
+    df = spark.createDataFrame([(i % 3, f"t{i}", i) for i in range(20)], "doc_id long, text string, row_number int")
+    for bound in (0, 100):
+        monkeypatch.setattr(common, "FEW_ROWS", bound)
+        rows = common.numbered(df, "rows")
+        gone = rows.filter(f"{common.KEPT}.row_number % 4 = 1").select(common.ROW)
+        left = common.without(rows, gone, "gone")
+        assert left.columns == df.columns and sorted(r["row_number"] for r in left.collect()) == [i for i in range(20) if i % 4 != 1]
+        assert common.without(rows, gone.limit(0), "gone").count() == 20
