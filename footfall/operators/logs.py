@@ -17,13 +17,13 @@ PREDICTED = (
 )
 
 
-def _newest(logs: DataFrame) -> DataFrame:
+def _newest(logs: DataFrame, *ties: str) -> DataFrame:
     """The newest row of each key in full, with __first, the newest actual there is, and __n, how many rows the key has.
 
-    Aggregates instead of a window: a key predicted many times is combined before the shuffle.
+    Aggregates instead of a window: a key predicted many times is combined before the shuffle. ``ties`` order rows that are one log.
     """
     row = F.struct(*[c for c in logs.columns if c not in KEY])
-    order = F.struct("prediction_created_at", "id")
+    order = F.struct("prediction_created_at", "id", *ties)
     known = F.when(F.col("actual_visitors").isNotNull(), order)
     newest = logs.groupBy(*KEY).agg(F.max_by(row, order).alias("__row"), F.max_by("actual_visitors", known).alias("__first"), F.count(F.lit(1)).alias("__n"))
     return newest.select(*KEY, "__row.*", "__first", "__n").select(*logs.columns, "__first", "__n")
@@ -37,9 +37,9 @@ def dedupe(logs: DataFrame) -> DataFrame:
     return out.withColumns({"absolute_error": F.when(F.col("__n") > 1, error).otherwise(F.col("absolute_error")), "actual_visitors": F.coalesce("__first", "actual_visitors")}).drop("__first", "__n")
 
 
-def latest(logs: DataFrame) -> DataFrame:
+def latest(logs: DataFrame, *ties: str) -> DataFrame:
     """Newest row of each key as it is read: only if it has no actual, the newest known one and its error are filled in."""
-    out, lacks = _newest(logs), F.col("actual_visitors").isNull()
+    out, lacks = _newest(logs, *ties), F.col("actual_visitors").isNull()
     filled = {"absolute_error": F.when(lacks, absolute_error(F.col("__first"), F.col("predicted_visitors"))).otherwise(F.col("absolute_error")), "actual_visitors": F.coalesce("actual_visitors", "__first")}
     return out.withColumns(filled).drop("__first", "__n")
 

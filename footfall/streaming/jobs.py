@@ -20,9 +20,14 @@ def merge_attendance(current: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def merge_logs(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The logs after a batch of predictions, one of each key; what they replace keeps its first actual."""
-    rows = batch if current is None else current.select(*batch.columns).unionByName(batch)
-    return logs.latest(rows)
+    """The logs after a batch of predictions, one of each key; what they replace keeps its first actual.
+
+    A log may come again, with an actual that is newer than the one filled in before: of its two forms the batch's counts.
+    """
+    if current is None:
+        return logs.latest(batch)
+    rows = current.select(*batch.columns, F.lit(0).alias("__again")).unionByName(batch.withColumn("__again", F.lit(1)))
+    return logs.latest(rows, "__again").drop("__again")
 
 
 def _merging(merge, root: str):

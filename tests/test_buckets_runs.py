@@ -81,6 +81,30 @@ def test_keyed_log_state_equals_the_batch_form_also_after_a_restart(spark, tmp_p
     assert (got["a"]["id"], got["a"]["actual_visitors"], got["a"]["absolute_error"]) == (7, 8, 5.0) and got["b"]["actual_visitors"] == 3
 
 
+def test_a_log_that_comes_again_has_its_newer_actual(spark, tmp_path, monkeypatch):
+    places = [f"p{i}" for i in range(40)]
+    batches = [
+        [r for i, p in enumerate(places) for r in (log(1000 + i, p, 6, 9, 10), log(i, p, 6, 1, 10, 5))],
+        [log(100 + i, p, 6, 2, 10, 7) for i, p in enumerate(places)],
+        [log(200 + i, p, 6, 3, 10, 3) for i, p in enumerate(places)],
+    ]
+    source, root = str(tmp_path / "in"), str(tmp_path / "t")
+    for batch in batches:
+        spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(source)
+    feed = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.log_feed(feed, root, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    want = logs.latest(spark.createDataFrame(sum(batches, []), LOG))
+    assert rows(bucketed.read(spark, root).select(want.columns)) == rows(want)
+    one = lambda actual: spark.createDataFrame([log(1, "a", 6, 9, 10, actual)], LOG)
+    union = type(want).unionByName
+    for turned in (False, True):  # executors fetch the rows of a key in any order
+        if turned:
+            monkeypatch.setattr(type(want), "unionByName", lambda own, other: union(other, own))
+        for was, now, left in ((5, 7, 7), (7, 5, 5), (5, None, 5)):
+            merged = jobs.merge_logs(one(was), one(now)).first()
+            assert (merged["actual_visitors"], merged["absolute_error"]) == (left, 10.0 - left)
+
+
 def test_state_of_old_keys_goes(spark, tmp_path):
     source = str(tmp_path / "in")
     for batch in ([log(1, "old", 6, 1, 10)], [log(2, "new", 300, 2, 5)], [log(3, "newer", 301, 3, 5)], [log(4, "too late", 6, 4, 5)]):
