@@ -84,7 +84,11 @@ def rows_too_late(query: StreamingQuery) -> int:
     return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
 
 
-def daily_weather(hourly: DataFrame, late: str = "1 day") -> DataFrame:
-    """Daily weather of the service window from an hourly stream; a day is complete when the watermark has passed it."""
-    days = in_window(hourly).withWatermark("time", late).groupBy("location_id", F.window("time", "1 day")).agg(*measures())
+def daily_weather(hourly: DataFrame, late: str | None = "1 day") -> DataFrame:
+    """Daily weather of the service window from an hourly stream; a day is complete when the watermark has passed it.
+
+    What comes after that is dropped. Without ``late`` no hour is too late, as a feed in no order of time needs it; a row of state stays for each location and day.
+    """
+    rows = in_window(hourly)
+    days = (rows if late is None else rows.withWatermark("time", late)).groupBy("location_id", F.window("time", "1 day")).agg(*measures())
     return days.select("location_id", F.to_date("window.start").alias("date"), "temp_10_13", "apparent_temp_10_13", "humidity_10_13", "wind_10_13", "precip_10_13")

@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from footfall.plans import workloads
 from footfall.sources import files
 from footfall.streaming import jobs
 
@@ -45,3 +46,18 @@ def test_older_changes_never_replace_newer_ones(spark):
     once = jobs.merge_attendance(now, batch)
     assert sorted((r["location_id"], r["visitors"]) for r in once.collect()) == [("a", 5), ("b", 3)]
     assert sorted(map(tuple, jobs.merge_attendance(once, batch).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_weather_in_no_order_of_time_is_whole(spark, tmp_path, monkeypatch):
+    """Files of a table as micro-batches, whose days begin anew in each: nothing of it is late."""
+    t = lambda d: datetime(2024, 1, d, 11)
+    rows = [("a", t(d), float(10 * i + d), 1.0, 2.0, 3.0, 0.5) for i in range(3) for d in (1, 9, 20)]
+    hourly = spark.createDataFrame(rows, "location_id string, time timestamp, temperature_2m double, apparent_temperature double, relative_humidity_2m double, wind_speed_10m double, precipitation double")
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        hourly.filter(F.col("temperature_2m") - F.dayofmonth("time") == 10 * i).coalesce(1).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    monkeypatch.setattr(workloads, "fixture", lambda spark, sf_dir, name: hourly)
+    monkeypatch.setattr(workloads, "_stream", lambda df, folder: feed)
+    got = sorted((r["date"], r["temp_10_13"], r["precip_10_13"]) for r in workloads.stream_weather(spark, "").collect())
+    assert got == [("2024-01-01", 11.0, 1.5), ("2024-01-09", 19.0, 1.5), ("2024-01-20", 30.0, 1.5)]
