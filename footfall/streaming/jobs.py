@@ -40,8 +40,12 @@ def _merging(merge, root: str):
 
 
 def attendance_feed(changes: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Changes (location_id, service_date, visitors, updated_at) into the current table under ``root``."""
-    return changes.writeStream.foreachBatch(_merging(merge_attendance, root)).option("checkpointLocation", checkpoint)
+    """Changes (location_id, service_date, visitors, updated_at) into the current table under ``root``.
+
+    A batch's changes are brought to the newest of each key before they are dealt by location, as a batch has more changes than keys.
+    """
+    merge = _merging(merge_attendance, root)
+    return changes.writeStream.foreachBatch(lambda batch, batch_id: merge(merge_attendance(None, batch), batch_id)).option("checkpointLocation", checkpoint)
 
 
 #: How long a key's state stays after the newest service date seen.

@@ -4,7 +4,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from footfall.plans import workloads
-from footfall.sources import files
+from footfall.sources import bucketed, files
 from footfall.streaming import jobs
 
 
@@ -61,3 +61,22 @@ def test_weather_in_no_order_of_time_is_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workloads, "_stream", lambda df, folder: feed)
     got = sorted((r["date"], r["temp_10_13"], r["precip_10_13"]) for r in workloads.stream_weather(spark, "").collect())
     assert got == [("2024-01-01", 11.0, 1.5), ("2024-01-09", 19.0, 1.5), ("2024-01-20", 30.0, 1.5)]
+
+
+def test_micro_batches_are_few_however_many_files(spark, tmp_path):
+    table = spark.range(300).select(F.col("id").cast("string").alias("location_id"), F.to_date(F.lit("2024-01-06")).alias("service_date"), F.col("id").cast("int").alias("visitors"), F.timestamp_seconds("id").alias("updated_at"))
+    for name, files, most in (("few", 3, 1), ("many", 100, workloads.BATCHES)):
+        feed, seen = workloads._stream(table.repartition(files), str(tmp_path / name)), []
+        query = feed.writeStream.foreachBatch(lambda batch, i: seen.append(batch.count())).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sum(seen) == 300 and len(seen) <= most
+
+
+def test_a_feed_deals_one_change_of_each_key(spark, tmp_path, monkeypatch):
+    schema, dealt, real = "location_id string, service_date date, visitors int, updated_at timestamp", [], bucketed.merge
+    changes = [("a", date(2024, 1, 6), i, datetime(2024, 1, 1, 1 + i % 20)) for i in range(60)]
+    spark.createDataFrame(changes, schema).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(jobs.bucketed, "merge", lambda batch, *rest: dealt.append(batch.count()) or real(batch, *rest))
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    jobs.attendance_feed(feed, str(tmp_path / "t"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert dealt == [1] and [r["visitors"] for r in bucketed.read(spark, str(tmp_path / "t")).collect()] == [59]
