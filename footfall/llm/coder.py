@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, CRC-32 of the coded bytes, CRC-32 of the ids
 STEP, WEIGHT_BITS, CONTEXT_BITS = 32, 12, 18
 WEIGHT = 1 << WEIGHT_BITS
@@ -81,9 +81,13 @@ class Mixer:
         self.last[:n] = ids
 
 
+#: Lanes at most, as a power of two, and ids that a lane should have at least: a step costs a sum over the vocabulary, so lanes are many rather than long.
+LANE_BITS, LANE_IDS = 13, 192
+
+
 def _shape(n: int) -> tuple[int, int]:
     """Lanes and ids in each lane (fewer in the last)."""
-    lanes = max(1, min(8192, n // 512))
+    lanes = max(1, min(1 << LANE_BITS, n // LANE_IDS))
     length = -(-n // lanes)
     return -(-n // length) if n else 0, length
 
@@ -172,6 +176,15 @@ def _quotient(over: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return q
 
 
+def _places(below: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The id within whose counts each value (below 2**40) lies. Values are looked up in order, several times faster than as they come."""
+    key = (value << LANE_BITS) | np.arange(len(value))
+    key.sort()
+    out = np.empty(len(value), np.int64)
+    out[key & ((1 << LANE_BITS) - 1)] = np.searchsorted(below, key >> LANE_BITS, "right") - 1
+    return out
+
+
 def decode_block(block: bytes) -> np.ndarray:
     """The ids; ValueError if a checksum doesn't hold."""
     magic, n, vocabulary, lanes, body_crc, ids_crc = HEADER.unpack_from(block)
@@ -206,7 +219,7 @@ def decode_block(block: bytes) -> np.ndarray:
             lo_start, hi_start = rest * below[lo], rest * below[hi] + lo_mass * (lo < hi)
             lo_end, hi_end = rest * below[lo + 1] + lo_mass + hi_mass * (lo == hi), rest * below[hi + 1] + lo_mass + hi_mass
             plain = value - lo_mass * (value >= lo_end) - hi_mass * (value >= hi_end)
-            s = np.searchsorted(below, (plain / rest).astype(np.int64), "right") - 1
+            s = _places(below, (plain / rest).astype(np.int64))
             s = np.where((value >= hi_start) & (value < hi_end), hi, s)
             s = np.where((value >= lo_start) & (value < lo_end), lo, s)
             start = rest * below[s] + total * (a_weight * (a < s) + b_weight * (b < s))
