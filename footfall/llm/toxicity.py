@@ -19,7 +19,6 @@ Labels of one document that differ are averaged. A null text is the empty one. W
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import materialize, texts_for_python
-from footfall.llm.tokens import chunks
+from footfall.llm.tokens import chunks, strings
 
 #: Labelled documents of the classifier at most, lexicon entries at most for each side, documents that a lexicon entry needs at least.
 MAX_LABELLED, MAX_VOTERS, MIN_DOCUMENTS = 20_000, 600, 4
@@ -44,12 +43,57 @@ TRUST = 0.95
 STRIP = "\"'`.,;:!?()[]{}<>|*#_-…»«“”„’"
 
 
-def word_patterns(word: str) -> list[str]:
-    """What a word can be known by: itself, and its starts."""
-    bare = word.lower().strip(STRIP)
-    if not bare:
-        return []
-    return ["=" + bare, *("^" + bare[:n] for n in STARTS if n <= len(bare))]
+def bare_words(words: pa.Array) -> pa.Array:
+    """Words in lower case, without the marks round them, as Python has it; most words are ASCII, where Arrow agrees."""
+    out = pc.utf8_trim(pc.ascii_lower(words), STRIP)
+    other = pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(out, other, pa.array([w.lower().strip(STRIP) for w in strings(words.filter(other))], pa.string()))
+
+
+def kinds(bare: pa.Array) -> Iterator[tuple[str, pa.Array]]:
+    """What bare words can be known by: themselves, and their starts. A mark for each kind, and the words' parts (null: none)."""
+    length = pc.utf8_length(bare)
+    yield "=", pc.if_else(pc.greater(length, 0), bare, None)
+    for n in STARTS:
+        yield "^", pc.if_else(pc.greater_equal(length, n), pc.utf8_slice_codeunits(bare, 0, n), None)
+
+
+def _pairs(row: np.ndarray, code: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (row, code), and whether each comes more than once or was ``many`` already."""
+    width = int(code.max(initial=0)) + 1
+    key = np.sort(((row * width + code) << 1) | many)
+    pair = key >> 1
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    ends = np.append(starts[1:], len(pair))[: len(starts)] - 1
+    return pair[starts] // width, pair[starts] % width, (ends > starts) | (key[ends] & 1 > 0)
+
+
+def _coded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each word of some texts the number of its text and of its bare word; the bare words."""
+    flat = pc.list_flatten(words).dictionary_encode()
+    bare = bare_words(flat.dictionary).dictionary_encode()
+    row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    return row, bare.indices.to_numpy()[flat.indices.to_numpy()], bare.dictionary
+
+
+def pattern_counts(texts: pa.Array, toxic: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """pattern, n, t: how many of the texts show it, and the sum of ``toxic`` over these."""
+
+    def counts(names: pa.Array, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(t, pa.float64())], ["pattern", "n", "t"])
+
+    yield counts(pa.array([EVERY], pa.string()), np.array([len(texts)]), np.array([toxic.sum()]))
+    row, code, bare = _coded(pc.utf8_split_whitespace(texts))
+    row, code, many = _pairs(row, code, np.zeros(len(row), bool))
+    for mark, parts in kinds(bare):
+        named = parts.dictionary_encode()
+        own = pc.fill_null(named.indices, -1).to_numpy()[code]
+        some = own >= 0
+        in_row, of, twice = _pairs(row[some], own[some], many[some])
+        for before, shown in ((mark, np.ones(len(of), bool)), (TWICE + mark, twice)):
+            n = np.bincount(of[shown], minlength=len(named.dictionary))
+            t = np.bincount(of[shown], toxic[in_row[shown]], len(named.dictionary))
+            yield counts(pc.binary_join_element_wise(before, named.dictionary.filter(pa.array(n > 0)), ""), n[n > 0], t[n > 0])
 
 
 def shape(texts: pa.Array) -> np.ndarray:
@@ -72,18 +116,16 @@ def _fired(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarr
     """Pairs (text, voter), each once: which voters of the lexicon fire on which texts."""
     base = {p: i for i, p in enumerate(sorted({v.removeprefix(TWICE) for v in index}))}
     once, twice = (np.array([index.get(mark + p, -1) for p in base] or [-1], np.int64) for mark in ("", TWICE))
-    words = pc.ascii_split_whitespace(texts)
-    flat = pc.list_flatten(words).dictionary_encode()
-    codes, at = flat.indices.to_numpy(), words.offsets.to_numpy()
-    hits_of = [[base[p] for p in word_patterns(w) if p in base] for w in flat.dictionary.to_pylist()]
-    count = np.array([len(h) for h in hits_of], np.int64)
-    hit_words = np.flatnonzero(count[codes]) if len(codes) else np.zeros(0, np.int64)
-    row = np.repeat(np.searchsorted(at - at[0], hit_words, "right") - 1, count[codes[hit_words]] if len(hit_words) else 0)
-    voter = np.array([v for c in codes[hit_words].tolist() for v in hits_of[c]], np.int64)
-    pairs, times = np.unique(row.astype(np.int64) * max(1, len(base)) + voter, return_counts=True)
-    row, voter = pairs // max(1, len(base)), pairs % max(1, len(base))
-    row = np.concatenate([row, row[times > 1]])
-    voter = np.concatenate([once[voter], twice[voter[times > 1]]])
+    in_row, code, bare = _coded(pc.ascii_split_whitespace(texts))
+    rows, voters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for mark, parts in kinds(bare):
+        own = {p[1:]: i for p, i in base.items() if p[0] == mark}
+        at = pc.fill_null(pc.index_in(parts, value_set=pa.array(list(own), pa.string())), -1).to_numpy()
+        hit = np.flatnonzero((at >= 0)[code])
+        rows.append(in_row[hit]), voters.append(np.array([*own.values(), -1], np.int64)[at[code[hit]]])
+    row, voter, many = _pairs(np.concatenate(rows), np.concatenate(voters), np.zeros(sum(map(len, rows)), bool))
+    row = np.concatenate([row, row[many]])
+    voter = np.concatenate([once[voter], twice[voter[many]]])
     real = voter >= 0
     order = np.argsort(row[real], kind="stable")
     return row[real][order], voter[real][order]
@@ -104,26 +146,9 @@ def _lexicon(rows: DataFrame, per_side: int) -> list[str] | None:
     """Patterns that stand out in toxic or in clean documents, by the lower bound of their log-odds; None without rows."""
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[float]] = {}
-
-        def counted() -> pa.RecordBatch:
-            n, t = ([v[k] for v in seen.values()] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.float64())], ["pattern", "n", "t"])
-
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                times: Counter[str] = Counter()
-                for word, n in Counter(text.as_py().split()).items():
-                    for p in word_patterns(word):
-                        times[p] += n
-                for p in (EVERY, *times, *(TWICE + p for p, n in times.items() if n > 1)):
-                    held = seen.setdefault(p, [0, 0.0])
-                    held[0] += 1
-                    held[1] += toxic
-                if len(seen) > 200_000:
-                    yield counted()
-                    seen.clear()
-        yield counted()
+            for a, b in chunks(batch.column(0)):
+                yield from pattern_counts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_numpy())
 
     counted = rows.select("text", "toxic").mapInArrow(patterns, "pattern string, n long, t double").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = materialize(counted.filter((F.col("n") >= MIN_DOCUMENTS) | (F.col("pattern") == EVERY)), "toxicity-patterns")
