@@ -17,6 +17,8 @@ import numpy as np
 BITS, CHECKS = 23, 11
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator polynomial
 GENERATOR = 0b101011100011
+#: Words whose codewords are computed at once.
+AT_ONCE = 1 << 16
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -32,8 +34,11 @@ def nearest_table() -> np.ndarray:
     errors = np.array([sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(BITS), n)], np.int64)
     by_remainder = np.zeros(1 << CHECKS, np.int64)
     by_remainder[_remainder(errors)] = errors
-    words = np.arange(1 << BITS, dtype=np.int64)
-    return ((words ^ by_remainder[_remainder(words)]) >> CHECKS).astype(np.int16)
+    out = np.empty(1 << BITS, np.int16)
+    for at in range(0, len(out), AT_ONCE):  # all words at once would take some 200 MB of each Python worker for a moment
+        words = np.arange(at, at + AT_ONCE, dtype=np.int64)
+        out[at : at + AT_ONCE] = (words ^ by_remainder[_remainder(words)]) >> CHECKS
+    return out
 
 
 def nearest(words: np.ndarray) -> np.ndarray:
